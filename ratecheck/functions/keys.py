@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that Python's str.strip() and \s treat as white space.
-WHITE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def col(c) -> Column:

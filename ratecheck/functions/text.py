@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ratecheck.functions.keys import col
+from ratecheck.functions.keys import col, strip
 
 # Words read as booleans.
 TRUE_WORDS = ("true", "1", "yes", "on")
@@ -49,8 +49,13 @@ def is_json(c) -> Column:
     return F.try_parse_json(col(c)).isNotNull()
 
 
+# Fixed value: decimal literals; keeps suffixed forms such as '1d' out of the cast.
+NUMBER_SHAPE = r"^(?i)[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf|infinity|nan)$"
+
+
 def typed_number(c) -> Column:
-    return F.trim(col(c)).try_cast("double")
+    text = strip(c)
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
 def typed_boolean(c) -> Column:
