@@ -125,11 +125,12 @@ def find_by_components(requests: DataFrame, master: DataFrame, item_type="item_t
     return find_by_key(keyed, master, "request_key")
 
 
-def update_parts(master: DataFrame, changes: DataFrame, as_of: str, rekey: bool) -> DataFrame:
+def update_parts(master: DataFrame, changes: DataFrame, as_of: str, rekey: bool,
+                 keep_on_null: bool = True) -> DataFrame:
     """Overwrite fields from a change table unique in ``target_key``.
 
-    A null field in ``changes`` keeps the old value. ``rekey`` regenerates the key from
-    the new components; without it the old key stays.
+    A null field in ``changes`` keeps the old value, unless ``keep_on_null`` is off.
+    ``rekey`` regenerates the key from the new components; without it the old key stays.
     """
     fields = [c for c in changes.columns if c != "target_key"]
     renamed = changes.select(
@@ -137,8 +138,14 @@ def update_parts(master: DataFrame, changes: DataFrame, as_of: str, rekey: bool)
         *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = master.join(renamed, "composite_key", "left")
     hit = F.coalesce("_hit", F.lit(False))
+
+    def new_value(c: str) -> Column:
+        if keep_on_null:
+            return F.coalesce(f"_new_{c}", c).alias(c)
+        return F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+
     out = joined.select("composite_key", "_hit", *[
-        F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c)
+        new_value(c) if c in fields else F.col(c)
         for c in master.columns if c != "composite_key"])
     out = out.withColumn("last_updated", F.when(hit, F.lit(as_of).cast("timestamp"))
                          .otherwise(F.col("last_updated")))

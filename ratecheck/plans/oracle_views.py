@@ -185,4 +185,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + body
+    prefix = "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order)
+    if body.lstrip().startswith("WITH "):
+        return prefix + ",\n" + body.lstrip()[len("WITH "):]
+    return prefix + "\n" + body
