@@ -64,11 +64,13 @@ HEADING_STARTS = ["WEARER", "ITEM", "DESCRIPTION", "SIZE", "TYPE"]
 NAME = r"([A-Z][A-Za-z\s\-\.]+?)"
 CODE = r"([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)"
 AMOUNTS = r"(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})"
+KINDS = r"(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)"
+CHARGES = r"(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)"
 GARMENT_LINE = (
-    r"(\d+)\s+" + NAME + r"\s+" + CODE + r"\s+(.+?)\s+([A-Z0-9X]+|X)\s+"
-    r"(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+" + AMOUNTS
+    r"(\d+)\s+" + NAME + r"\s+" + CODE + r"\s+(.+?)\s+([A-Z0-9X]+|X)\s+" + KINDS + r"\s+"
+    + AMOUNTS
 )
-CHARGE_LINE = r"(\d+)\s+" + NAME + r"\s+(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)\s+" + AMOUNTS
+CHARGE_LINE = r"(\d+)\s+" + NAME + r"\s+" + CHARGES + r"\s+" + AMOUNTS
 PLAIN_LINE = r"^" + CODE + r"\s+(.+?)\s+(Rent|X)\s+" + AMOUNTS + r"$"
 
 
@@ -169,16 +171,16 @@ MARK = "\x01"
 HAS_AMOUNTS = r"\d\.\d{2,3}\s+\d+\.\d{2}"
 
 
-def _fields(line: Column, pattern: str, *wanted: str) -> Column:
+def _fields(line: Column, pattern: str, tail: str, *wanted: str) -> Column:
     """The wanted groups of the first match, joined by MARK; null when nothing matches.
 
-    One replacement of the whole line yields all groups, so the pattern runs once.
+    One replacement of the whole line yields all groups, so the pattern runs once. The
+    patterns backtrack a lot on lines of another form; ``tail``, the closing part they
+    must match anyway, sorts those out first.
     """
-    whole = "(?s)^.*?" + pattern.removeprefix("^") + ".*$"
-    if pattern.startswith("^"):
-        whole = "(?s)" + pattern
+    whole = "(?s)" + pattern if pattern.startswith("^") else "(?s)^.*?" + pattern + ".*$"
     out = F.regexp_replace(line, whole, MARK.join(wanted))
-    return F.when(out.contains(MARK), out)
+    return F.when(line.rlike(tail), F.when(out.contains(MARK), out))
 
 
 def parse_line(line) -> Column:
@@ -188,9 +190,9 @@ def parse_line(line) -> Column:
     """
     text = col(line)
     return F.split(F.coalesce(
-        _fields(text, GARMENT_LINE, "$3", "$4", "$6", "$8"),
-        _fields(text, CHARGE_LINE, "$3", "$3", "Charge", "$5"),
-        _fields(text, PLAIN_LINE, "$1", "$2", "$3", "$5")), MARK)
+        _fields(text, GARMENT_LINE, rf"{KINDS}\s+{AMOUNTS}", "$3", "$4", "$6", "$8"),
+        _fields(text, CHARGE_LINE, rf"{CHARGES}\s+{AMOUNTS}", "$3", "$3", "Charge", "$5"),
+        _fields(text, PLAIN_LINE, rf"(Rent|X)\s+{AMOUNTS}$", "$1", "$2", "$3", "$5")), MARK)
 
 
 def text_line_items(lines: DataFrame) -> DataFrame:

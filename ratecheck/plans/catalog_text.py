@@ -66,7 +66,7 @@ DUCK_NAMES = {
 
 def pages(v: DriverViews):
     """Three text pages per order; the last is blank or null for some."""
-    rows = v.table("orders").selectExpr(
+    rows = v.facts("orders").selectExpr(
         "concat('doc-', o_orderkey) AS doc_id",
         f"""inline(array(
             named_struct('page_no', 1, 'text', {HEADER_TEXT.format(**SPARK_NAMES)}),
@@ -78,7 +78,7 @@ def pages(v: DriverViews):
 
 def order_lines(v: DriverViews):
     """One text line per order line, in the supplier's written forms."""
-    priced = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    priced = v.facts("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     return priced.selectExpr(
         "concat('doc-', l_orderkey) AS doc_id", "l_linenumber AS line_no",
         f"{LINE_TEXT.format(**SPARK_NAMES)} AS line")
@@ -271,7 +271,7 @@ def _(v):
                unnest(range(1, len(l) + 1)) u(i))
     WHERE line <> ''""")
 def _(v):
-    lines = tl.split_lines(v.table("documents").select("doc_id", "text"))
+    lines = tl.split_lines(v.facts("documents").select("doc_id", "text"))
     return lines.select("doc_id", "line_no", tl.is_heading_line("line").alias("heading"))
 
 
@@ -295,7 +295,7 @@ def _(v):
 
 def loose_lines(v):
     """Line fields as text, with quantities and totals that need normalizing."""
-    return v.table("lineitem").selectExpr(
+    return v.facts("lineitem").selectExpr(
         "concat('doc-', l_orderkey) AS doc_id",
         "concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS line_id",
         "CASE WHEN l_quantity = 1 THEN 'one' WHEN l_quantity = 2 THEN NULL "

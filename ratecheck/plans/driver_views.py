@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ratecheck.functions.keys import composite_key
 from ratecheck.operators.master import first_per_key
 from ratecheck.session import configure
+from ratecheck.sources.tables import fill_cores, read_table
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -40,7 +41,11 @@ class DriverViews:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+
+    def facts(self, name: str) -> DataFrame:
+        """A table with much work per row."""
+        return fill_cores(self.table(name))
 
     # ---- master table -------------------------------------------------------------
     def parts_all(self) -> DataFrame:
@@ -70,7 +75,7 @@ class DriverViews:
         )
 
     def lines(self) -> DataFrame:
-        priced = self.table("lineitem").join(
+        priced = self.facts("lineitem").join(
             self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         return priced.selectExpr(
             "concat('doc-', l_orderkey) AS doc_id",
