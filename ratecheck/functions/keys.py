@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# Fixed value: the same characters in full, for trimming without a pattern.
+WHITE_CHARS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Runs to collapse: two or more of them, or one that is not a plain blank.
+RUN = (WHITE + r"{2,}|[\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f"
+       r"\u3000]")
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
     """Drop leading and trailing white space of any kind, not only blanks."""
-    return F.regexp_replace(col(c), f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(col(c), F.lit(WHITE_CHARS))
 
 
 def blank_to_null(c) -> Column:
@@ -30,7 +38,7 @@ def is_blank(c) -> Column:
 def normalize_component(c) -> Column:
     """Upper case, single spaces, no outer space; null becomes ''."""
     # Collapsing first leaves at most one plain space at either end.
-    return F.coalesce(F.trim(F.regexp_replace(F.upper(col(c)), f"{WHITE}+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.upper(col(c)), RUN, " ")), F.lit(""))
 
 
 def composite_key(item_type="item_type", description="description",
