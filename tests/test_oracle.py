@@ -9,8 +9,8 @@ import __spark_entry__ as entry_module
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = {k: v for c in entry_module.CATALOGS for k, v in c.QUERIES.items()}
+ORACLE = {k: v for c in entry_module.CATALOGS for k, v in c.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")
