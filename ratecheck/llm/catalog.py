@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratecheck.llm import line_rules
+from ratecheck.llm import line_rules, shards, source_mix
 from ratecheck.llm.common import table
 
 
@@ -15,7 +15,21 @@ def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    laid, schedule = source_mix.mix(table(spark, folder, "documents"))
+    return source_mix.taken_words(laid, schedule)
+
+
+def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = shards.shard(table(spark, folder, "documents"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op6_shards": op6_shards,
     "op8_line_rules": op8_line_rules,
 }
 
