@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratecheck.llm import line_rules, shards, source_mix
+from ratecheck.llm import line_rules, list_views, shards, source_mix, url_lists, warc_store
 from ratecheck.llm.common import table
 
 
@@ -15,6 +15,20 @@ def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op1_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    spans = url_lists.intervals(list_views.entries(pages))
+    judged = url_lists.judge(list_views.captures(pages), spans)
+    return judged.select(F.col("id").alias("page_id"), "host", "fetched", "n_active", "lists",
+                         "verdict")
+
+
+def op3_warc_store(spark: SparkSession, folder: str) -> DataFrame:
+    archive = warc_store.write_archive(table(spark, folder, "pages"))
+    return warc_store.read_index(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     laid, schedule = source_mix.mix(table(spark, folder, "documents"))
     return source_mix.taken_words(laid, schedule)
@@ -28,9 +42,13 @@ def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_lists": op1_url_lists,
+    "op3_warc_store": op3_warc_store,
     "op2_source_mix": op2_source_mix,
     "op6_shards": op6_shards,
     "op8_line_rules": op8_line_rules,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op1_url_lists": list_views.URL_LISTS_SQL,
+}
