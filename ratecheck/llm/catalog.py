@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratecheck.llm import line_rules, list_views, shards, source_mix, url_lists, warc_store
+from ratecheck.llm import (
+    line_rules, list_views, shards, simhash, source_mix, url_lists, warc_store, window_dedup,
+)
 from ratecheck.llm.common import table
 
 
@@ -34,6 +36,18 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.taken_words(laid, schedule)
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    printed, named = simhash.groups(table(spark, folder, "documents"))
+    return printed.join(named, "print").select(
+        "doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = window_dedup.remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed",
+                          F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     dealt = shards.shard(table(spark, folder, "documents"))
     return dealt.select(
@@ -45,8 +59,10 @@ QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op3_warc_store": op3_warc_store,
     "op2_source_mix": op2_source_mix,
+    "op5_simhash": op5_simhash,
     "op6_shards": op6_shards,
     "op8_line_rules": op8_line_rules,
+    "op10_window_dedup": op10_window_dedup,
 }
 
 ORACLE = {
