@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
-    line_rules, list_views, shards, simhash, source_mix, url_lists, warc_store, window_dedup,
+    line_rules, list_views, oracle, phrase_index, shards, simhash, source_mix, url_lists, warc_store,
+    window_dedup,
 )
 from ratecheck.llm.common import table
 
@@ -42,6 +43,15 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op9_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = phrase_index.phrase_matches(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = window_dedup.remove_repeats(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed",
@@ -62,9 +72,13 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_shards": op6_shards,
     "op8_line_rules": op8_line_rules,
+    "op9_phrase_index": op9_phrase_index,
     "op10_window_dedup": op10_window_dedup,
 }
 
 ORACLE = {
     "op1_url_lists": list_views.URL_LISTS_SQL,
+    "op8_line_rules": oracle.LINE_RULES,
+    "op9_phrase_index": oracle.PHRASE_INDEX,
+    "op10_window_dedup": oracle.WINDOW_DEDUP,
 }
