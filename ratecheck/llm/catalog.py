@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
-    line_rules, list_views, oracle, phrase_index, shards, simhash, source_mix, url_lists, warc_store,
+    line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix, url_lists, warc_store,
     window_dedup,
 )
 from ratecheck.llm.common import table
@@ -43,6 +43,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     found = phrase_index.phrase_matches(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op5_simhash": op5_simhash,
     "op6_shards": op6_shards,
+    "op7_quality_model": op7_quality_model,
     "op8_line_rules": op8_line_rules,
     "op9_phrase_index": op9_phrase_index,
     "op10_window_dedup": op10_window_dedup,
