@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
-    line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix, url_lists, warc_store,
-    window_dedup,
+    line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix,
+    toxicity, url_lists, warc_store, window_dedup,
 )
 from ratecheck.llm.common import table
 
 
-def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = line_rules.clean_lines(table(spark, folder, "documents"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept")
-
-
 def op1_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     spans = url_lists.intervals(list_views.entries(pages))
@@ -26,15 +19,19 @@ def op1_url_lists(spark: SparkSession, folder: str) -> DataFrame:
                          "verdict")
 
 
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    laid, schedule = source_mix.mix(table(spark, folder, "documents"))
+    return source_mix.taken_words(laid, schedule)
+
+
 def op3_warc_store(spark: SparkSession, folder: str) -> DataFrame:
     archive = warc_store.write_archive(table(spark, folder, "pages"))
     return warc_store.read_index(spark, archive).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    laid, schedule = source_mix.mix(table(spark, folder, "documents"))
-    return source_mix.taken_words(laid, schedule)
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,10 +40,24 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = shards.shard(table(spark, folder, "documents"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = line_rules.clean_lines(table(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 def op9_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     found = phrase_index.phrase_matches(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -62,17 +73,11 @@ def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
-    dealt = shards.shard(table(spark, folder, "documents"))
-    return dealt.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
-
-
 QUERIES = {
     "op1_url_lists": op1_url_lists,
-    "op3_warc_store": op3_warc_store,
     "op2_source_mix": op2_source_mix,
+    "op3_warc_store": op3_warc_store,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_shards": op6_shards,
     "op7_quality_model": op7_quality_model,

@@ -141,8 +141,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = PHRASE_WORDS
                    item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Find test phrases in every document, word for word.
 
-    Returns one row per document: ``doc_id, n_words, n_hit, n_items, items, spans``. ``n_hit`` counts
-    words inside any occurrence of a phrase; ``items`` are the ids, as sorted text, of the items
+    Returns one row per document: ``doc_id, tag, n_words, n_hit, n_items, items, spans``. ``tag`` is
+    a checksum of the text; ``n_hit`` counts words inside any occurrence of a phrase; ``items`` are the ids, as sorted text, of the items
     with an occurring phrase (a null id reads ``null``, a repeated id counts once), ``n_items``
     their number; ``spans`` are the merged places of the hits. Null and empty texts have no
     words and no hits; items without words have no phrase. Null ids and repeated rows are rows
@@ -182,7 +182,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = PHRASE_WORDS
     hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["stop"] - x["start"])
     return found.join(named, found["id"].eqNullSafe(named["_id"]) & (found["tag"] == named["_tag"]),
                       "left").select(
-        F.col("id").alias("doc_id"), "n_words", hit.cast("long").alias("n_hit"),
+        F.col("id").alias("doc_id"), "tag", "n_words", hit.cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 

@@ -89,7 +89,7 @@ def streams(sizes: DataFrame, sources: DataFrame, bucket_rows: int = BUCKET_ROWS
     over buckets first and inside a bucket then, so no task holds a source.
     """
     docs = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select(
-        "number", "doc_id", "size", "place", "tie", sources.source_size, "target", "goal",
+        "number", sizes.source, "doc_id", "size", "place", "tie", "source_size", "target", "goal",
         (F.shiftright("place", HASH_BITS - 30) * F.ceil(F.col("source_rows") / bucket_rows)
          ).alias("_scaled"))
     docs = docs.withColumn("bucket", F.shiftright("_scaled", 30)).drop("_scaled")
@@ -99,8 +99,8 @@ def streams(sizes: DataFrame, sources: DataFrame, bucket_rows: int = BUCKET_ROWS
         "number", "bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("number", "bucket").orderBy("place", "doc_id", "tie", "size")
     return docs.join(buckets, ["number", "bucket"]).select(
-        "number", "bucket", F.row_number().over(inside).alias("row"), "doc_id", "tie", "size",
-        "source_size", "target", "goal",
+        "number", "bucket", F.row_number().over(inside).alias("row"), "source", "doc_id", "tie",
+        "size", "source_size", "target", "goal",
         (F.col("_before") + F.sum("size").over(
             inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("offset"))
 
@@ -179,8 +179,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     The schedule has one row per piece: ``slot, number, bucket, row, doc_id, round,
     first_word, n_words``; ``(number, bucket, row)`` names a row of the laid-out documents,
-    whose columns are ``number, bucket, row, doc_id, tie, size, source_size, target, goal,
-    offset``. ``round`` counts the readings of the source so far.
+    whose columns are ``number, bucket, row, source, doc_id, tie, size, source_size, target,
+    goal, offset``; ``tie`` is a checksum of the text. ``round`` counts the readings of the
+    source so far.
 
     Sizes are words; a null or empty text has none, is laid out and never scheduled. A null
     source is a source of its own, after all others. Null ids and repeated rows are rows like
