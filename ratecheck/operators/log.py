@@ -117,9 +117,8 @@ def _session_aggregates() -> list[Column]:
 
 
 def recent_sessions(log: DataFrame, limit: int = 10) -> DataFrame:
-    """The newest sessions, seen over the newest ``limit * 10`` log rows."""
-    window = log.orderBy(*newest_first()).limit(limit * 10)
-    return window.groupBy(F.col("processing_session_id").alias("session_id")).agg(
+    """The newest sessions, each over all of its log rows."""
+    return log.groupBy(F.col("processing_session_id").alias("session_id")).agg(
         *_session_aggregates()).orderBy(F.desc("last_seen"), "session_id").limit(limit)
 
 
@@ -200,12 +199,21 @@ def candidate_prices(log: DataFrame, policy: str = "avg", given=None,
 
 
 def part_history(master: DataFrame, log: DataFrame, part_number: str | None = None) -> DataFrame:
-    """Parts with their log rows, newest first; parts never logged stay."""
+    """Parts with their log rows, newest first; parts never logged stay.
+
+    The log is the left side of an inner join, so a hot part number is split; parts without a
+    log row are added by an anti join.
+    """
     parts = master.filter(F.col("part_number") == part_number) if part_number else master
+    parts = parts.select("composite_key", "part_number", "authorized_price")
     rows = log.select("part_number", "id", "action_taken", "discovered_price", "invoice_number",
                       "discovery_date")
-    return parts.select("composite_key", "part_number", "authorized_price").join(
-        rows, "part_number", "left").orderBy("composite_key", *newest_first())
+    logged = rows.join(parts, "part_number")
+    never = parts.join(rows.select("part_number").distinct(), "part_number", "left_anti")
+    return logged.unionByName(never, allowMissingColumns=True).select(
+        "part_number", "composite_key", "authorized_price", "id", "action_taken",
+        "discovered_price", "invoice_number", "discovery_date").orderBy(
+        "composite_key", *newest_first())
 
 
 # ---- discovery from lines -----------------------------------------------------------

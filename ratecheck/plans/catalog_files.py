@@ -139,9 +139,7 @@ def _(v):
            CAST(coalesce(round(CAST(sum(p) AS DECIMAL(28,8)) / nullif(count(p), 0), 6), 0)
                 AS DOUBLE) AS avg_price,
            CAST(min(p) AS DOUBLE) AS min_price, CAST(max(p) AS DOUBLE) AS max_price,
-           CAST(max(p) - min(p) AS DOUBLE) AS price_variance, 0 AS page,
-           coalesce(array_to_string(list_sort(list_distinct(list(notes)
-                    FILTER (notes <> ''))), '; '), '') AS descriptions
+           CAST(max(p) - min(p) AS DOUBLE) AS price_variance
     FROM (SELECT *, nullif(discovered_price, 0) AS p FROM v_log) GROUP BY part_number""")
 def _(v):
     return doubles(exports.unknown_parts_export(v.log()), "avg_price", "min_price", "max_price",
@@ -167,7 +165,7 @@ def _(v):
 
 
 @register("a16_nested_results", """
-    SELECT v.doc_id, 0 AS chunk, any_value(i.invoice_number) AS invoice_number,
+    SELECT v.doc_id, 0 AS page, any_value(i.invoice_number) AS invoice_number,
            CAST(count(*) AS INTEGER) AS n_parts,
            CAST(count(*) FILTER (validation_status <> 'PASSED') AS INTEGER) AS n_errors,
            count(*) FILTER (validation_status = 'PASSED') AS passed_parts,
@@ -176,7 +174,7 @@ def _(v):
 def _(v):
     nested = records.nest_verdicts(verdicts(v), v.invoices())
     return nested.select(
-        "doc_id", "chunk", F.col("invoice_metadata.invoice_number").alias("invoice_number"),
+        "doc_id", "page", F.col("invoice_metadata.invoice_number").alias("invoice_number"),
         F.size("parts").alias("n_parts"), F.size("error_lines").alias("n_errors"),
         F.col("validation_summary.passed_parts").alias("passed_parts"),
         F.array_join("parts.validation_status", ",").alias("statuses"))

@@ -157,7 +157,7 @@ def _(v):
            count(*) FILTER (action_taken = 'added') AS parts_added,
            {TIME_SQL.format('min(discovery_date)')} AS first_seen,
            {TIME_SQL.format('max(discovery_date)')} AS last_seen
-    FROM (SELECT * FROM v_log ORDER BY discovery_date DESC, id DESC LIMIT 200)
+    FROM v_log
     GROUP BY processing_session_id
     ORDER BY max(discovery_date) DESC, processing_session_id LIMIT 20""")
 def _(v):

@@ -81,6 +81,7 @@ EXTRACTION = T.StructType([
         T.StructField("customer_number", T.StringType()),
         T.StructField("customer_name", T.StringType()),
         T.StructField("total_line_items", T.IntegerType()),
+        T.StructField("first_line", T.IntegerType()),
         T.StructField("pdf_path", T.StringType()),
         T.StructField("extraction_timestamp", T.StringType()),
     ])),

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ratecheck.functions.keys import is_blank
 from ratecheck.functions.text import money_text
-from ratecheck.operators.log import review_descriptions, unknown_review
+from ratecheck.operators.log import unknown_review
 from ratecheck.operators.master import list_parts
 from ratecheck.plans.report import REPORT_COLUMNS, TEXT_ORDER
 
@@ -66,27 +66,14 @@ def log_export(log: DataFrame, session_id: str | None = None,
         "notes", F.date_format("discovery_date", ISO).alias("created_at"))
 
 
-MAX_LISTED = 1000
-
-
 def unknown_parts_export(log: DataFrame, session_id: str | None = None) -> DataFrame:
-    """The review of unknown parts with their descriptions.
+    """The review of unknown parts, one row per part.
 
-    Descriptions are joined in text order. A part with more than MAX_LISTED of them gets
-    one row per thousand, numbered by ``page``, so no row grows without bound.
+    The descriptions of a part, of any number, are the rows of ``review_descriptions``.
     """
-    notes = review_descriptions(log, session_id)
-    sizes = notes.groupBy("part_number").agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.filter(F.col("_n") > MAX_LISTED).select(
-        "part_number", F.ceil(F.col("_n") / MAX_LISTED).alias("_pages"))
-    page = F.coalesce(F.pmod(F.xxhash64("notes"), F.col("_pages")), F.lit(0))
-    joined = notes.join(long, "part_number", "left").groupBy(
-        "part_number", page.cast("int").alias("page")).agg(
-        F.array_join(F.array_sort(F.collect_list("notes")), "; ").alias("descriptions"))
-    return unknown_review(log, session_id).join(joined, "part_number", "left").select(
+    return unknown_review(log, session_id).select(
         "part_number", "occurrences", "unique_invoices", "avg_price", "min_price", "max_price",
-        "price_variance", F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("descriptions", F.lit("")).alias("descriptions"))
+        "price_variance")
 
 
 def lines_export(lines: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -110,9 +97,12 @@ def dated_reports(reports: DataFrame, run_date: str) -> DataFrame:
 
 
 def write_dated(reports: DataFrame, run_date: str, base: str, fmt: str = "json") -> None:
-    """Write below ``base/run_date=YYYYMMDD/``."""
-    dated_reports(reports, run_date).write.mode("append").partitionBy("run_date").format(
-        fmt).save(base)
+    """Write below ``base/run_date=YYYYMMDD/name=<invoice>/``.
+
+    Rows of a report are brought together first, so each report is one file.
+    """
+    dated_reports(reports, run_date).repartition("run_date", "name").write.mode(
+        "append").partitionBy("run_date", "name").format(fmt).save(base)
 
 
 def flat_values(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,7 @@ from ratecheck.functions.keys import is_blank
 from ratecheck.operators.invoices import is_valid_line
 from ratecheck.schemas import EXTRACTION, INVOICE_RECORD
 
-CHUNK = 10_000
+PAGE_LINES = 10_000
 
 
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
@@ -29,11 +29,13 @@ def flat_lines(records: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("invoice_metadata.invoice_number", F.lit("UNKNOWN"))
         .alias("invoice_number"),
         F.coalesce("invoice_metadata.invoice_date", F.lit("")).alias("invoice_date"),
+        F.coalesce("invoice_metadata.first_line", F.lit(0)).alias("first_line"),
         F.posexplode("parts").alias("pos", "p"))
+    place = (F.col("first_line") + F.col("pos")).cast("bigint")
     db, line = F.col("p.database_fields"), F.col("p.lineitem_fields")
     return each.select(
         "doc_id", "invoice_number", "invoice_date",
-        F.col("pos").cast("bigint").alias("row_idx"), F.col("pos").cast("string").alias("line_id"),
+        place.alias("row_idx"), place.cast("string").alias("line_id"),
         line["line_number"].alias("line_number"), db["part_number"].alias("part_number"),
         F.coalesce(db["description"], F.lit("")).alias("description"),
         db["item_type"].alias("item_type"), db["authorized_price"].alias("rate"),
@@ -48,19 +50,25 @@ def flat_sections(records: DataFrame) -> DataFrame:
                        (F.col("pos") + 1).alias("section_pos"), F.col("s.amount").alias("amount"))
 
 
-def chunked(lines: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Add ``chunk``: a document with more than ``size`` lines is spread over several.
+def paged(lines: DataFrame, size: int = PAGE_LINES) -> DataFrame:
+    """Add ``page``: a nested record holds the lines of one page of ``size`` rows at most.
 
-    A nested record holds its lines in one value, so the lines of one document are only
-    gathered up to about ``size``; longer documents become several records that together
-    hold every line.
+    Every invoice is paged by its row numbers, whatever its length, so pages keep line order.
     """
-    counts = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    long = counts.filter(F.col("_n") > size).select(
-        "doc_id", F.ceil(F.col("_n") / size).alias("_chunks"))
-    place = F.pmod(F.xxhash64("doc_id", "row_idx", "line_id"), F.col("_chunks"))
-    return lines.join(long, "doc_id", "left").withColumn(
-        "chunk", F.coalesce(place, F.lit(0)).cast("int")).drop("_chunks")
+    page = F.floor(F.coalesce("row_idx", F.lit(0)) / size)
+    return lines.withColumn("page", page.cast("int"))
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """Add ``first_line``, the lines on earlier pages, and ``first_page`` to rows of pages.
+
+    ``pages`` has one narrow row per page with its number of ``lines``.
+    """
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return pages.withColumns({
+        "first_line": F.coalesce(F.sum("lines").over(before), F.lit(0)),
+        "first_page": F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) == 1})
 
 
 def _gathered(value: Column) -> Column:
@@ -70,75 +78,87 @@ def _gathered(value: Column) -> Column:
 
 
 def nest_extractions(lines: DataFrame, invoices: DataFrame, sections: DataFrame,
-                     size: int = CHUNK) -> DataFrame:
-    """Extraction records of the valid lines (A8, the producing side)."""
+                     size: int = PAGE_LINES) -> DataFrame:
+    """Extraction records of the valid lines, one per page (A8, the producing side).
+
+    Sections and the number of all lines stand in the record of an invoice's first page only.
+    ``first_line`` says how many lines the pages before hold.
+    """
     part = F.struct(
         F.struct(
             "part_number", F.col("rate").alias("authorized_price"), "description", "item_type",
             F.lit(None).cast("string").alias("category"), F.lit("extracted").alias("source"),
-            F.col("invoice_number").alias("first_seen_invoice")).alias("database_fields"),
+            F.col("first_seen").alias("first_seen_invoice")).alias("database_fields"),
         F.struct("line_number", "quantity", "total", "raw_text").alias("lineitem_fields"))
-    headed = chunked(lines.filter(is_valid_line()), size).join(
-        invoices.select("doc_id", "invoice_number", "invoice_date", "customer_number"),
-        "doc_id", "left")
-    parts = headed.groupBy("doc_id", "chunk").agg(
-        F.first("invoice_number").alias("invoice_number"),
-        F.first("invoice_date").alias("invoice_date"),
-        F.first("customer_number").alias("customer_number"),
-        _gathered(part).alias("parts"))
+    heads = invoices.select("doc_id", "invoice_number", "invoice_date", "customer_number")
+    valid = paged(lines.filter(is_valid_line()), size).join(
+        heads.select("doc_id", F.col("invoice_number").alias("first_seen")), "doc_id", "left")
+    parts = valid.groupBy("doc_id", "page").agg(_gathered(part).alias("parts"))
+    counts = numbered(paged(lines.filter(is_valid_line()), size).groupBy("doc_id", "page").agg(
+        F.count(F.lit(1)).alias("lines")))
+    whole = counts.groupBy("doc_id").agg(F.sum("lines").cast("int").alias("all_lines"))
     amounts = sections.groupBy("doc_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("section_pos", "section_type", "amount"))),
         lambda s: F.struct(s["section_type"].alias("section_type"), s["amount"].alias("amount"),
                            F.lit(None).cast("string").alias("raw_text"),
-                           F.lit(None).cast("string").alias("line_number"))).alias("format_sections"))
-    return parts.join(amounts, "doc_id", "left").select(
-        "doc_id", "chunk",
+                           F.lit(None).cast("string").alias("line_number"))).alias("amounts"))
+    headed = parts.join(counts, ["doc_id", "page"]).join(whole, "doc_id").join(
+        heads, "doc_id", "left").join(amounts, "doc_id", "left")
+    return headed.select(
+        "doc_id", "page",
         F.struct("invoice_number", "invoice_date", "customer_number",
                  F.lit(None).cast("string").alias("customer_name"),
-                 F.size("parts").alias("total_line_items")).alias("invoice_metadata"),
-        "format_sections", "parts")
+                 F.when(F.col("first_page"), F.col("all_lines")).alias("total_line_items"),
+                 F.col("first_line").cast("int").alias("first_line")).alias("invoice_metadata"),
+        F.when(F.col("first_page"), F.col("amounts")).alias("format_sections"), "parts")
 
 
-def nest_invoices(lines: DataFrame, invoices: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Invoice records with their lines as an array."""
+def nest_invoices(lines: DataFrame, invoices: DataFrame, size: int = PAGE_LINES) -> DataFrame:
+    """Invoice records with their lines as an array, one record per page."""
     item = F.struct(F.col("part_number").alias("item_code"), "description", "item_type", "rate",
                     "quantity", "total", "line_number", "raw_text")
-    arrays = chunked(lines, size).groupBy("doc_id", "chunk").agg(_gathered(item).alias("line_items"))
+    arrays = paged(lines, size).groupBy("doc_id", "page").agg(_gathered(item).alias("line_items"))
     return arrays.join(invoices, "doc_id", "left").select(
-        "doc_id", "chunk", "invoice_number", "invoice_date", "customer_number",
+        "doc_id", "page", "invoice_number", "invoice_date", "customer_number",
         F.lit(None).cast("string").alias("customer_name"), "line_items")
 
 
 def to_text(records: DataFrame) -> DataFrame:
     """Records as JSON text."""
-    body = [c for c in records.columns if c not in ("doc_id", "chunk")]
-    return records.select("doc_id", "chunk", F.to_json(F.struct(*body)).alias("json"))
+    body = [c for c in records.columns if c not in ("doc_id", "page")]
+    return records.select("doc_id", "page", F.to_json(F.struct(*body)).alias("json"))
 
 
 def invoices_from_text(texts: DataFrame) -> DataFrame:
-    return texts.select("doc_id", "chunk", F.from_json("json", INVOICE_RECORD).alias("r")).select(
-        "doc_id", "chunk", "r.*")
+    return texts.select("doc_id", "page", F.from_json("json", INVOICE_RECORD).alias("r")).select(
+        "doc_id", "page", "r.*")
 
 
-def nest_verdicts(verdicts: DataFrame, invoices: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Validation results as nested records (A16), long invoices in several chunks."""
+def nest_verdicts(verdicts: DataFrame, invoices: DataFrame, size: int = PAGE_LINES) -> DataFrame:
+    """Validation results as nested records, one per page.
+
+    The summary counts the whole invoice and stands in the record of its first page only.
+    """
     part = F.struct("line_number", "part_number", "description", "item_type", "rate", "quantity",
                     "total", "database_price", "price_difference", "validation_status",
                     "validation_errors", "raw_text")
     status = F.col("validation_status")
-    arrays = chunked(verdicts, size).groupBy("doc_id", "chunk").agg(
+    pages = paged(verdicts, size).groupBy("doc_id", "page").agg(
         _gathered(part).alias("parts"),
         F.count(F.lit(1)).alias("total_parts"),
         F.count_if(status == "PASSED").alias("passed_parts"),
         F.count_if(status == "FAILED").alias("failed_parts"),
         F.count_if(status == "UNKNOWN").alias("unknown_parts"))
-    return arrays.join(
+    own = Window.partitionBy("doc_id")
+    names = ("total_parts", "passed_parts", "failed_parts", "unknown_parts")
+    summary = F.struct(*[F.sum(n).over(own).alias(n) for n in names])
+    first = F.row_number().over(own.orderBy("page")) == 1
+    return pages.withColumns({"_summary": summary, "_first": first}).join(
         invoices.select("doc_id", "invoice_number", "invoice_date"), "doc_id", "left").select(
-        "doc_id", "chunk",
+        "doc_id", "page",
         F.struct("invoice_number", "invoice_date").alias("invoice_metadata"), "parts",
         F.filter("parts", lambda p: p["validation_status"] != "PASSED").alias("error_lines"),
-        F.struct("total_parts", "passed_parts", "failed_parts", "unknown_parts")
-        .alias("validation_summary"))
+        F.when(F.col("_first"), F.col("_summary")).alias("validation_summary"))
 
 
 def as_text(df: DataFrame) -> DataFrame:

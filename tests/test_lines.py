@@ -10,6 +10,7 @@ from ratecheck.operators import invoices as inv
 from ratecheck.operators import lines as li
 from ratecheck.operators import validate as val
 from ratecheck.plans import report as rep
+from ratecheck.plans.driver_views import DriverViews
 from ratecheck.schemas import INVOICE_LINES, PARTS
 from ratecheck.sinks import exports
 from ratecheck.sources import records
@@ -128,16 +129,30 @@ def test_written_reports_keep_their_order(spark, lines, master, tmp_path):
     assert text[-2].startswith("Error Rate: ")
 
 
-def test_long_invoices_nest_in_chunks(spark, lines, master):
+def test_long_invoices_nest_in_pages(spark, lines, master):
     invoices = spark.createDataFrame([("d1", "10000001", "01/15/2025")],
                                      "doc_id string, invoice_number string, invoice_date string")
     verdicts = val.line_verdicts(lines, master)
-    nested = records.nest_verdicts(verdicts, invoices, size=3)
-    rows = nested.collect()
+    rows = records.nest_verdicts(verdicts, invoices, size=3).orderBy("page").collect()
     assert len(rows) > 1
-    numbers = sorted(p.line_number for r in rows for p in r.parts)
-    assert numbers == ["1", "2", "3", "4", "5", "6", "7"]
-    assert sum(r.validation_summary.total_parts for r in rows) == 7
+    assert [p.line_number for r in rows for p in r.parts] == ["1", "2", "3", "4", "5", "6", "7"]
+    assert [r.validation_summary is not None for r in rows] == [True] + [False] * (len(rows) - 1)
+    assert rows[0].validation_summary.total_parts == 7
+
+
+def test_records_read_back_alike_for_any_page_size(spark, data):
+    """Lines, sections and what is checked on them do not depend on the page size."""
+    views = DriverViews(spark, data)
+
+    def read_back(size):
+        nested = records.nest_extractions(views.lines(), views.invoices(), views.sections(), size)
+        back = records.parse_extractions(records.to_text(nested))
+        lines, sections = records.flat_lines(back), records.flat_sections(back)
+        assert lines.groupBy("doc_id", "row_idx").count().filter("count > 1").isEmpty()
+        return [sorted(map(str, df.collect())) for df in (
+            lines, sections, inv.totals_check(sections), inv.section_order(sections))]
+
+    assert read_back(2) == read_back(10_000)
 
 
 def test_key_normalization_is_idempotent(spark):

@@ -75,9 +75,15 @@ def test_bad_entries_do_not_reach_the_log(spark, log):
     assert stamped.processing_session_id == "s9" and stamped.discovery_date is not None
 
 
-def test_session_list_looks_at_the_newest_rows_only(log):
-    got = dl.recent_sessions(log, 1).collect()
-    assert [r.session_id for r in got] == [None]
+def test_session_list_counts_whole_sessions(log):
+    whole = {r.processing_session_id: r["count"]
+             for r in log.groupBy("processing_session_id").count().collect()}
+    got = dl.recent_sessions(log, len(whole)).collect()
+    assert {r.session_id for r in got} == set(whole)
+    assert [r.session_id for r in dl.recent_sessions(log, 1).collect()] == [None]
+    first = {r.processing_session_id: r.d for r in log.groupBy("processing_session_id").agg(
+        F.min("discovery_date").alias("d")).collect()}
+    assert {r.session_id: r.first_seen for r in got} == first
     assert dl.session_summaries(log, "session_001").first().unique_parts_discovered == 2
     assert dl.part_history(log.selectExpr("part_number AS composite_key", "part_number",
                                           "authorized_price").limit(1), log).count() == 3

@@ -212,7 +212,9 @@ def test_dated_reports_land_in_their_folder(spark, tmp_path):
     frame = spark.createDataFrame([("10000001", 1), (None, 2), ("UNKNOWN", 3)],
                                   "invoice_number string, n int")
     exports.write_dated(frame, "2025-01-31", str(tmp_path / "out"))
-    assert (tmp_path / "out" / "run_date=20250131").exists()
+    folder = tmp_path / "out" / "run_date=20250131"
+    assert sorted(x.name for x in folder.iterdir()) == ["name=10000001", "name=report"]
+    assert all(len(list(x.glob("part-*"))) == 1 for x in folder.iterdir())
     names = {r["n"]: r["name"] for r in exports.dated_reports(frame, "2025-01-31").collect()}
     assert names == {1: "10000001", 2: "report", 3: "report"}
 
