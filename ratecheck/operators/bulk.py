@@ -26,6 +26,14 @@ def _outside(filter_category: str | None) -> Column:
     return ~F.coalesce(F.col("old_category") == filter_category, F.lit(False))
 
 
+def _repeated(located: DataFrame, skipped: Column) -> tuple[DataFrame, Column]:
+    """Requests with the first one that hits their part, and whether one came before."""
+    firsts = located.filter(F.col("target_key").isNotNull() & ~skipped).groupBy("target_key").agg(
+        F.min("row_no").alias("_first"))
+    again = F.coalesce(F.col("row_no") > F.col("_first"), F.lit(False))
+    return located.join(firsts, "target_key", "left"), again
+
+
 def update_outcomes(changes: DataFrame, master: DataFrame,
                     filter_category: str | None = None) -> DataFrame:
     """updated / not_found / filtered_out / errors per change row (C17).
@@ -98,15 +106,14 @@ def delete_outcomes(requests: DataFrame, master: DataFrame, soft: bool = True,
                     filter_category: str | None = None) -> DataFrame:
     """deleted / not_found / filtered_out per request.
 
-    A hard delete removes the part, so a repeated request no longer finds it.
+    A hard delete removes the part, so a later request for it, by key or by number, no longer
+    finds it.
     """
     located = _located(requests, master)
     if soft:
         again = F.lit(False)
     else:
-        firsts = located.groupBy("part_number").agg(F.min("row_no").alias("_first"))
-        located = located.join(firsts, "part_number")
-        again = F.col("row_no") > F.col("_first")
+        located, again = _repeated(located, _outside(filter_category))
     out = located.withColumn(
         "outcome",
         F.when(F.col("target_key").isNull(), "not_found")
@@ -133,15 +140,14 @@ def activate_outcomes(requests: DataFrame, master: DataFrame,
                       filter_category: str | None = None) -> DataFrame:
     """activated / already_active / not_found / filtered_out per request (C20).
 
-    A repeated request finds the part active.
+    A later request for the same part, by key or by number, finds it active.
     """
-    located = _located(requests, master)
-    firsts = located.groupBy("part_number").agg(F.min("row_no").alias("_first"))
-    return located.join(firsts, "part_number").withColumn(
+    located, again = _repeated(_located(requests, master), _outside(filter_category))
+    return located.withColumn(
         "outcome",
         F.when(F.col("target_key").isNull(), "not_found")
         .when(_outside(filter_category), "filtered_out")
-        .when(F.col("old_active") | (F.col("row_no") > F.col("_first")), "already_active")
+        .when(F.col("old_active") | again, "already_active")
         .otherwise("activated")).drop("_first")
 
 

@@ -192,10 +192,10 @@ def candidate_prices(log: DataFrame, policy: str = "avg", given=None,
     """The price each discovered part would be authorized at."""
     choice = {
         "avg": F.round("avg_price", 4), "min": F.col("min_price"), "max": F.col("max_price"),
-        "given": F.lit(given).cast("decimal(10,4)"),
+        "given": F.lit(given).cast("decimal(18,4)"),
     }[policy]
     return _discovered_prices(log, session_id).select(
-        "part_number", choice.cast("decimal(10,4)").alias("authorized_price"))
+        "part_number", choice.cast("decimal(18,4)").alias("authorized_price"))
 
 
 def part_history(master: DataFrame, log: DataFrame, part_number: str | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def discover_unknown(lines: DataFrame, invoices: DataFrame, master: DataFrame) -
     return unknown.join(invoices.select("doc_id", "invoice_number", "invoice_date"),
                         "doc_id", "left").select(
         "part_number", "invoice_number", "invoice_date",
-        F.col("rate").cast("decimal(10,4)").alias("discovered_price"),
+        F.col("rate").cast("decimal(18,4)").alias("discovered_price"),
         "description", "quantity", "line_number", "doc_id", "row_idx", "line_id")
 
 
@@ -236,7 +236,7 @@ def discovered_rows(contexts: DataFrame, session_id: str, as_of: str) -> DataFra
     """Contexts as ``discovered`` log rows."""
     return contexts.select(
         F.lit(None).cast("bigint").alias("id"), "part_number", "invoice_number", "invoice_date",
-        "discovered_price", F.lit(None).cast("decimal(10,4)").alias("authorized_price"),
+        "discovered_price", F.lit(None).cast("decimal(18,4)").alias("authorized_price"),
         F.lit("discovered").alias("action_taken"),
         F.lit(None).cast("string").alias("user_decision"),
         F.lit(as_of).cast("timestamp").alias("discovery_date"),
@@ -255,7 +255,7 @@ def apply_decisions(unknowns: DataFrame, decisions: DataFrame, master: DataFrame
     joined = unknowns.join(decisions, "composite_key", "left")
     parts = joined.select(
         "composite_key", "part_number",
-        F.col("decided_price").cast("decimal(10,4)").alias("authorized_price"),
+        F.col("decided_price").cast("decimal(18,4)").alias("authorized_price"),
         "description", "item_type", F.col("decided_category").alias("category"),
         F.lit("discovered").alias("source"),
         F.col("doc_id").alias("first_seen_invoice"),

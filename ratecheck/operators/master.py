@@ -43,7 +43,7 @@ def part_errors(price_text: str | None = None) -> Column:
     """All broken rules of a part row, as an array of messages.
 
     ``price_text`` names the column with the price as written, where one exists: digits
-    beyond the fourth decimal are lost once the price is a decimal(10,4).
+    beyond the fourth decimal are lost once the price is a decimal(18,4).
     """
     price = F.col("authorized_price")
     decimals = too_many_decimals(F.col(price_text)) if price_text else F.lit(False)
@@ -226,9 +226,9 @@ def price_range(master: DataFrame, low=None, high=None, active_only: bool = True
     """Parts priced within the closed range; a missing bound is open (C14)."""
     out = master.filter("is_active") if active_only else master
     if low is not None:
-        out = out.filter(F.col("authorized_price") >= F.lit(str(low)).cast("decimal(10,4)"))
+        out = out.filter(F.col("authorized_price") >= F.lit(str(low)).cast("decimal(18,4)"))
     if high is not None:
-        out = out.filter(F.col("authorized_price") <= F.lit(str(high)).cast("decimal(10,4)"))
+        out = out.filter(F.col("authorized_price") <= F.lit(str(high)).cast("decimal(18,4)"))
     return out
 
 

@@ -133,7 +133,7 @@ def display_statistics(master: DataFrame, category: str | None = None) -> DataFr
         F.sum(F.when(F.col("is_active"), F.col("authorized_price"))).alias("sum"))
     shown = F.col("active") > 0
     zero = F.lit(0).cast("bigint")
-    price = F.lit(0).cast("decimal(10,4)")
+    price = F.lit(0).cast("decimal(18,4)")
     average = F.sum("sum") / F.nullif(F.sum("active"), F.lit(0))
     top = F.min(F.when(shown, F.struct((-F.col("active")).alias("n"), "category")))
     return per_category.agg(

@@ -99,11 +99,11 @@ def line_amounts(verdicts: DataFrame) -> DataFrame:
     qty = F.when(F.coalesce("quantity", F.lit(0)) == 0, 1).otherwise(F.col("quantity"))
     is_error = F.col("validation_status").isin("FAILED", "UNKNOWN")
     price = F.coalesce("rate", F.lit(0).cast("decimal(18,4)"))
-    listed = F.coalesce("database_price", F.lit(0).cast("decimal(10,4)"))
+    listed = F.coalesce("database_price", F.lit(0).cast("decimal(18,4)"))
     actual = F.when(F.col("total") > 0, F.col("total")).otherwise(
-        (price.cast("decimal(14,4)") * F.col("_qty")).cast("decimal(18,4)"))
+        (price * F.col("_qty")).cast("decimal(28,4)"))
     expected = F.when(is_error & (listed > 0),
-                      (listed * F.col("_qty")).cast("decimal(18,4)")).otherwise(F.col("_actual"))
+                      (listed * F.col("_qty")).cast("decimal(28,4)")).otherwise(F.col("_actual"))
     return (
         verdicts
         .withColumn("_qty", qty)
@@ -146,12 +146,13 @@ def item_verdicts(lines: DataFrame, master: DataFrame, tolerance: float = TOLERA
 def unknown_parts(lines: DataFrame, master: DataFrame) -> DataFrame:
     """The first line of every part key the master lacks.
 
-    The first line is a minimum over (document, row, line), combined before the shuffle,
-    so a key billed a billion times costs one row per task.
+    Known keys, most of them, leave by an anti join before any line is compared. The first
+    line is a minimum over (document, row, line), combined before the shuffle, so a key
+    billed a billion times costs one row per task.
     """
     keyed = lines.filter(~is_blank("part_number")).withColumn("composite_key", composite_key())
-    firsts = first_per_key(keyed, ["composite_key"], ["doc_id", "row_idx", "line_id"])
-    return firsts.join(master.select("composite_key"), "composite_key", "left_anti")
+    unknown = keyed.join(master.select("composite_key"), "composite_key", "left_anti")
+    return first_per_key(unknown, ["composite_key"], ["doc_id", "row_idx", "line_id"])
 
 
 def accept_first_seen(unknowns: DataFrame, as_of: str) -> DataFrame:
@@ -159,7 +160,7 @@ def accept_first_seen(unknowns: DataFrame, as_of: str) -> DataFrame:
     now = F.lit(as_of).cast("timestamp")
     return unknowns.filter(F.col("rate") > 0).select(
         "composite_key", "part_number",
-        F.col("rate").cast("decimal(10,4)").alias("authorized_price"),
+        F.col("rate").cast("decimal(18,4)").alias("authorized_price"),
         "description", "item_type",
         F.lit(None).cast("string").alias("category"),
         F.lit("discovered").alias("source"),

@@ -246,7 +246,7 @@ def _(v):
     FROM (SELECT v.doc_id,
                  CASE WHEN v.validation_status = 'UNKNOWN' AND u.rate > 0
                       THEN CASE WHEN v.rate IS NULL OR abs(CAST(v.rate AS DOUBLE)
-                                  - CAST(CAST(u.rate AS DECIMAL(10,4)) AS DOUBLE)) <= 0.001
+                                  - CAST(CAST(u.rate AS DECIMAL(18,4)) AS DOUBLE)) <= 0.001
                                 THEN 'PASSED' ELSE 'FAILED' END
                       ELSE v.validation_status END AS st
           FROM v_verdicts v LEFT JOIN v_unknown u ON v.composite_key = u.composite_key) v

@@ -35,7 +35,7 @@ LOG_VIEWS = {
         HAVING count(discovered_price) > 0""",
     "v_context": """
         SELECT l.part_number, i.invoice_number, i.invoice_date,
-               CAST(l.rate AS DECIMAL(10,4)) AS discovered_price, l.description, l.quantity,
+               CAST(l.rate AS DECIMAL(18,4)) AS discovered_price, l.description, l.quantity,
                l.line_number, l.doc_id, l.row_idx, l.line_id
         FROM v_lines l LEFT JOIN v_invoices i ON l.doc_id = i.doc_id
         WHERE coalesce(l.part_number, '') <> ''

@@ -32,7 +32,7 @@ MASTER_VIEWS = {
                  {CLEAN.format('notes')} AS notes
           FROM v_import_rows)""",
     "v_checked": """
-        SELECT *, CAST(price AS DECIMAL(10,4)) AS authorized_price,
+        SELECT *, CAST(price AS DECIMAL(18,4)) AS authorized_price,
                CASE WHEN part_number = '' THEN 'Missing part_number'
                     WHEN price_text = '' THEN 'Missing authorized_price'
                     WHEN price IS NULL THEN 'Invalid price format'
@@ -60,7 +60,7 @@ MASTER_VIEWS = {
     "v_changes": """
         SELECT row_no, upper(trim(part_number)) AS part_number,
                nullif(trim(price), '') AS price_text,
-               try_cast(nullif(trim(price), '') AS DECIMAL(10,4)) AS authorized_price,
+               try_cast(nullif(trim(price), '') AS DECIMAL(18,4)) AS authorized_price,
                nullif(trim(description), '') AS description,
                nullif(trim(category), '') AS category, nullif(trim(notes), '') AS notes,
                nullif(trim(status), '') AS status
@@ -469,7 +469,7 @@ def _(v):
 
 
 @register("a3_parts_csv_rows", f"""
-    SELECT row_no, composite_key, part_number, CAST(CAST(price AS DECIMAL(10,4)) AS DOUBLE)
+    SELECT row_no, composite_key, part_number, CAST(CAST(price AS DECIMAL(18,4)) AS DOUBLE)
              AS authorized_price, description, category, source, is_active, notes
     FROM v_clean WHERE part_number <> '' AND price > 0""")
 def _(v):
@@ -492,7 +492,7 @@ def _(v):
 
 
 @register("a5_import_cleaning", """
-    SELECT row_no, part_number, price_text, CAST(CAST(price AS DECIMAL(10,4)) AS DOUBLE)
+    SELECT row_no, part_number, price_text, CAST(CAST(price AS DECIMAL(18,4)) AS DOUBLE)
              AS authorized_price, description, category, notes FROM v_clean""")
 def _(v):
     return doubles(csv_files.clean_import(v.import_rows()).select(

@@ -18,9 +18,13 @@ from ratecheck.sources.tables import fill_cores, read_table
 
 AS_OF = "2024-01-31 00:00:00"
 
+# Parts not authorized yet have numbers of their own; of the others two share a number.
+PART_NUMBER = ("CASE WHEN p_brand = 'Brand#25' THEN concat('U-', p_partkey) "
+               "ELSE concat('P-', p_partkey div 2) END")
+
 PART_COLUMNS = [
-    "concat('P-', p_partkey div 2) AS part_number",
-    "CAST(p_retailprice AS DECIMAL(10,4)) AS authorized_price",
+    f"{PART_NUMBER} AS part_number",
+    "CAST(p_retailprice AS DECIMAL(18,4)) AS authorized_price",
     "p_name AS description",
     "p_type AS item_type",
     "CASE WHEN p_size <= 8 THEN NULL WHEN p_size <= 12 THEN '' "
@@ -90,14 +94,14 @@ class DriverViews:
             "concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS line_id",
             "CAST(l_linenumber AS STRING) AS line_number",
             "CASE WHEN l_quantity = 50 THEN NULL WHEN l_quantity = 49 THEN '' "
-            "ELSE concat('P-', p_partkey div 2) END AS part_number",
+            f"ELSE {PART_NUMBER} END AS part_number",
             "CASE WHEN l_quantity = 48 THEN NULL "
             "WHEN l_returnflag = 'A' THEN concat('  ', upper(p_name), ' ') "
             "ELSE p_name END AS description",
             "p_type AS item_type",
             "CASE WHEN l_tax = 0.08 THEN NULL "
-            "WHEN l_returnflag = 'R' THEN CAST(CAST(p_retailprice AS DECIMAL(10,4)) "
-            "+ CAST(l_discount AS DECIMAL(10,4)) AS DECIMAL(18,4)) "
+            "WHEN l_returnflag = 'R' THEN CAST(CAST(p_retailprice AS DECIMAL(18,4)) "
+            "+ CAST(l_discount AS DECIMAL(18,4)) AS DECIMAL(18,4)) "
             "ELSE CAST(p_retailprice AS DECIMAL(18,4)) END AS rate",
             "CAST(l_quantity AS INT) AS quantity",
             "l_tax",
@@ -139,10 +143,10 @@ class DriverViews:
             "CASE WHEN value >= 5 THEN concat('INV', event_id div 10) END AS invoice_number",
             "date_format(ts, 'MM/dd/yyyy') AS invoice_date",
             "CASE WHEN event_type = 'error' AND value < 20 THEN NULL "
-            "WHEN value < 1 THEN CAST(0 AS DECIMAL(10,4)) "
-            "ELSE CAST(value AS DECIMAL(10,4)) END AS discovered_price",
+            "WHEN value < 1 THEN CAST(0 AS DECIMAL(18,4)) "
+            "ELSE CAST(value AS DECIMAL(18,4)) END AS discovered_price",
             "CASE WHEN event_type IN ('purchase', 'error') "
-            "THEN CAST(100 AS DECIMAL(10,4)) END AS authorized_price",
+            "THEN CAST(100 AS DECIMAL(18,4)) END AS authorized_price",
             "CASE event_type WHEN 'signup' THEN 'discovered' WHEN 'purchase' THEN 'added' "
             "WHEN 'view' THEN 'skipped' WHEN 'click' THEN 'updated' "
             "ELSE 'price_mismatch' END AS action_taken",
@@ -209,8 +213,8 @@ class DriverViews:
         ).selectExpr(
             "composite_key",
             "CASE WHEN row_no < 400 THEN 'skip' ELSE 'add_to_database_now' END AS action",
-            "CASE WHEN row_no < 800 THEN CAST(0 AS DECIMAL(10,4)) "
-            "ELSE CAST(10.25 AS DECIMAL(10,4)) END AS decided_price",
+            "CASE WHEN row_no < 800 THEN CAST(0 AS DECIMAL(18,4)) "
+            "ELSE CAST(10.25 AS DECIMAL(18,4)) END AS decided_price",
             "CAST(NULL AS STRING) AS decided_category",
         )
 

@@ -16,8 +16,9 @@ VIEWS: dict[str, str] = {
         SELECT row_no, part_number, authorized_price, description, item_type, category, source,
                first_seen_invoice, created_date, last_updated, is_active, notes,
                {key_sql()} AS composite_key
-        FROM (SELECT p_partkey AS row_no, 'P-' || (p_partkey // 2) AS part_number,
-                     CAST(p_retailprice AS DECIMAL(10,4)) AS authorized_price,
+        FROM (SELECT p_partkey AS row_no, CASE WHEN p_brand = 'Brand#25' THEN 'U-' || p_partkey
+                          ELSE 'P-' || (p_partkey // 2) END AS part_number,
+                     CAST(p_retailprice AS DECIMAL(18,4)) AS authorized_price,
                      p_name AS description, p_type AS item_type,
                      CASE WHEN p_size <= 8 THEN NULL WHEN p_size <= 12 THEN ''
                           ELSE 'Category ' || p_brand END AS category,
@@ -54,6 +55,7 @@ VIEWS: dict[str, str] = {
                      concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS line_id,
                      CAST(l_linenumber AS VARCHAR) AS line_number,
                      CASE WHEN l_quantity = 50 THEN NULL WHEN l_quantity = 49 THEN ''
+                          WHEN p_brand = 'Brand#25' THEN 'U-' || p_partkey
                           ELSE 'P-' || (p_partkey // 2) END AS part_number,
                      CASE WHEN l_quantity = 48 THEN NULL
                           WHEN l_returnflag = 'A' THEN '  ' || upper(p_name) || ' '
@@ -61,8 +63,8 @@ VIEWS: dict[str, str] = {
                      p_type AS item_type,
                      CASE WHEN l_tax = 0.08 THEN NULL
                           WHEN l_returnflag = 'R'
-                          THEN CAST(CAST(p_retailprice AS DECIMAL(10,4))
-                                    + CAST(l_discount AS DECIMAL(10,4)) AS DECIMAL(18,4))
+                          THEN CAST(CAST(p_retailprice AS DECIMAL(18,4))
+                                    + CAST(l_discount AS DECIMAL(18,4)) AS DECIMAL(18,4))
                           ELSE CAST(p_retailprice AS DECIMAL(18,4)) END AS rate,
                      CAST(l_quantity AS INTEGER) AS quantity, l_tax
               FROM lineitem JOIN part ON l_partkey = p_partkey)""",
@@ -89,10 +91,10 @@ VIEWS: dict[str, str] = {
                CASE WHEN value >= 5 THEN 'INV' || (event_id // 10) END AS invoice_number,
                strftime(ts, '%m/%d/%Y') AS invoice_date,
                CASE WHEN event_type = 'error' AND value < 20 THEN NULL
-                    WHEN value < 1 THEN CAST(0 AS DECIMAL(10,4))
-                    ELSE CAST(value AS DECIMAL(10,4)) END AS discovered_price,
+                    WHEN value < 1 THEN CAST(0 AS DECIMAL(18,4))
+                    ELSE CAST(value AS DECIMAL(18,4)) END AS discovered_price,
                CASE WHEN event_type IN ('purchase', 'error')
-                    THEN CAST(100 AS DECIMAL(10,4)) END AS authorized_price,
+                    THEN CAST(100 AS DECIMAL(18,4)) END AS authorized_price,
                CASE event_type WHEN 'signup' THEN 'discovered' WHEN 'purchase' THEN 'added'
                     WHEN 'view' THEN 'skipped' WHEN 'click' THEN 'updated'
                     ELSE 'price_mismatch' END AS action_taken,
@@ -145,8 +147,8 @@ VIEWS: dict[str, str] = {
     "v_decisions": """
         SELECT composite_key,
                CASE WHEN row_no < 400 THEN 'skip' ELSE 'add_to_database_now' END AS action,
-               CASE WHEN row_no < 800 THEN CAST(0 AS DECIMAL(10,4))
-                    ELSE CAST(10.25 AS DECIMAL(10,4)) END AS decided_price,
+               CASE WHEN row_no < 800 THEN CAST(0 AS DECIMAL(18,4))
+                    ELSE CAST(10.25 AS DECIMAL(18,4)) END AS decided_price,
                CAST(NULL AS VARCHAR) AS decided_category
         FROM (SELECT composite_key, min(row_no) AS row_no FROM v_parts_all
               WHERE notes = 'Brand#25' GROUP BY composite_key)""",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PRICE = T.DecimalType(10, 4)
+PRICE = T.DecimalType(18, 4)
 MONEY = T.DecimalType(18, 4)
+# Price times quantity.
+AMOUNT = T.DecimalType(28, 4)
 
 PARTS = T.StructType([
     T.StructField("composite_key", T.StringType()),
@@ -45,8 +47,8 @@ INVOICE_LINES = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("item_type", T.StringType()),
     T.StructField("rate", MONEY),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("total", MONEY),
+    T.StructField("quantity", T.LongType()),
+    T.StructField("total", AMOUNT),
     T.StructField("raw_text", T.StringType()),
 ])
 
@@ -69,8 +71,8 @@ DATABASE_FIELDS = T.StructType([
 
 LINEITEM_FIELDS = T.StructType([
     T.StructField("line_number", T.StringType()),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("total", MONEY),
+    T.StructField("quantity", T.LongType()),
+    T.StructField("total", AMOUNT),
     T.StructField("raw_text", T.StringType()),
 ])
 
@@ -102,8 +104,8 @@ INVOICE_RECORD = T.StructType([
         T.StructField("description", T.StringType()),
         T.StructField("item_type", T.StringType()),
         T.StructField("rate", MONEY),
-        T.StructField("quantity", T.IntegerType()),
-        T.StructField("total", MONEY),
+        T.StructField("quantity", T.LongType()),
+        T.StructField("total", AMOUNT),
         T.StructField("line_number", T.StringType()),
         T.StructField("raw_text", T.StringType()),
     ]))),

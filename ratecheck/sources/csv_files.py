@@ -10,9 +10,13 @@ from ratecheck.functions.keys import blank_to_null, composite_key, is_blank, str
 from ratecheck.functions.text import parse_boolean
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, UTF-8, quoted cells may hold line breaks; all columns are strings."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"',
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header row, UTF-8, all columns strings.
+
+    Large files are split over tasks. With ``multi_line`` quoted cells may hold line breaks, and
+    a file is read by one task.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
                           encoding="UTF-8")
 
 
@@ -35,8 +39,7 @@ def number_rows(df: DataFrame, start: int = 1) -> DataFrame:
     sizes = tagged.groupBy(task.alias("_task")).agg((F.max(inner) + 1).alias("_n"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # One row per scan task: as small as the task list itself, so it is safe to broadcast.
-    placed = tagged.withColumn("_task", task).join(F.broadcast(offsets), "_task")
+    placed = tagged.withColumn("_task", task).join(offsets, "_task")
     return placed.withColumn("row_no", inner + F.col("_offset") + F.lit(start)).drop(
         "_tag", "_task", "_offset")
 
@@ -78,7 +81,7 @@ def clean_import(rows: DataFrame) -> DataFrame:
         F.coalesce(clean_part_number("part_number"), F.lit("")).alias("part_number"),
         text.alias("price_text"),
         clean_price("authorized_price").alias("price"),
-        clean_price("authorized_price", "decimal(10,4)").alias("authorized_price"),
+        clean_price("authorized_price", "decimal(18,4)").alias("authorized_price"),
         optional("description").alias("description"),
         optional("item_type").alias("item_type"),
         optional("category").alias("category"),
@@ -113,7 +116,7 @@ def bulk_updates(rows: DataFrame, fields: tuple[str, ...] = UPDATE_FIELDS) -> Da
         text = values.pop("price")
         readable = text.isNull() | text.try_cast("decimal(38,10)").isNotNull()
         values["price_text"] = text
-        values["authorized_price"] = text.try_cast("decimal(10,4)")
+        values["authorized_price"] = text.try_cast("decimal(18,4)")
     typed = rows.filter(readable).select("row_no", clean_part_number("part_number").alias("part_number"),
                         *[c.alias(n) for n, c in values.items()])
     some = F.coalesce(*[F.col(n).cast("string") for n in values]).isNotNull()
@@ -128,9 +131,10 @@ def part_numbers(rows: DataFrame) -> DataFrame:
         ~is_blank("part_number"))
 
 
-def read_parts_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
+def read_parts_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None,
+                   multi_line: bool = False) -> DataFrame:
     """A parts file as numbered, cleaned rows; the first data row is number 2."""
-    rows = read_text_csv(spark, path)
+    rows = read_text_csv(spark, path, multi_line)
     if mapping:
         rows = rename_columns(rows, mapping)
     return clean_import(number_rows(rows, start=2))
