@@ -88,6 +88,9 @@ QUERIES = {
 
 ORACLE = {
     "op1_url_lists": list_views.URL_LISTS_SQL,
+    "op2_source_mix": oracle.SOURCE_MIX,
+    "op3_warc_store": oracle.WARC_STORE,
+    "op6_shards": oracle.SHARDS,
     "op8_line_rules": oracle.LINE_RULES,
     "op9_phrase_index": oracle.PHRASE_INDEX,
     "op10_window_dedup": oracle.WINDOW_DEDUP,

@@ -91,3 +91,78 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+# Water level: caps are met in the order of cap / weight; the level is the first that its
+# source can take.
+SOURCE_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)
+    AS size, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 2.0 * source_size AS cap, (1.5 * sum(source_size) OVER ()
+      - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight
+          RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0))
+    / sum(weight) OVER (ORDER BY 2.0 * source_size / weight
+          RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sources),
+water AS (SELECT coalesce((SELECT level FROM levels WHERE level * weight <= cap
+  ORDER BY cap / weight LIMIT 1), 1e300) AS level),
+targets AS (
+  SELECT source, source_size, CAST(least(cap, weight * water.level) AS DOUBLE) AS target,
+    CAST(floor(least(cap, weight * water.level) + 0.5) AS BIGINT) AS goal FROM levels, water),
+laid AS (
+  SELECT doc_id, size, source_size, target, goal, CAST(sum(size) OVER (PARTITION BY s.source
+    ORDER BY place, doc_id, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS off
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(off + size, goal) - off)
+    + greatest(0, least(off + source_size + size, goal) - off - source_size) AS BIGINT) AS taken
+FROM laid
+"""
+
+WARC_STORE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (
+  SELECT *, sha1(body) AS h, octet_length(encode(body)) AS n,
+    max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER))
+      & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+# Records in the order of the two hashes; a group is dealt whole if it is within one of the
+# 1,024 shares, else row by row. The checksum is computed bit by bit from its polynomial.
+SHARDS = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS g,
+    coalesce(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT, -1) AS r
+  FROM documents),
+sums AS (
+  SELECT d.*, sum(size) OVER () AS total, sum(size) OVER w - size AS byte, row_number() OVER w - 1 AS place,
+    sum(size) OVER (PARTITION BY g) AS together
+  FROM d WINDOW w AS (ORDER BY g, r, doc_id, size ROWS UNBOUNDED PRECEDING)),
+dealt AS (
+  SELECT *, CAST(least(15, CASE WHEN together * 1024 <= total
+      THEN (2 * min(byte) OVER (PARTITION BY g) + together) * 16 // (2 * total)
+      ELSE (2 * byte + size) * 16 // (2 * total) END) AS INTEGER) AS shard FROM sums)
+SELECT doc_id, CAST(size AS BIGINT) AS size,
+  xor(list_reduce(list_concat([4294967295], list_transform(range(size - 1), lambda i:
+      ('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)),
+    lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt, crc
+"""
