@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written in numpy.
 
-A word enters as the embedding of its hash plus those of its character trigrams and of its first
-characters, so unseen forms of a known stem still say something. The network reads windows of
+A word enters as an embedding of its own, if enough training texts have it, beside those of its
+character trigrams and first characters, so unseen forms of a known stem still say something. The network reads windows of
 ``WINDOW`` words that overlap; attention pools the states of a window into one logit, and a
 document scores as its worst window. All windows of all texts are scored, in Spark tasks; only
 training runs on the driver, on a sample of bounded size.
@@ -9,6 +9,7 @@ training runs on the driver, on a sample of bounded size.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ WINDOW = 64
 STRIDE = 48
 HIDDEN = 8
 EMBED = 8
-WORD_SLOTS = 1 << 14
+MOST_WORDS = 1 << 14
+LEAST_TEXTS = 5
+LEAST_SHARE = 0.005
 CHAR_SLOTS = 1 << 12
 PREFIX_BYTES = 5
 # The training sample: at most so many documents of each label, each of at most so many bytes.
@@ -28,6 +31,7 @@ SAMPLE_BYTES = 6000
 STEPS = 250
 BATCH = 64
 RATE = 0.01
+EMBED_RATE = 4.0
 HARDEST = 3
 SEED = 11
 THRESHOLD = 0.5
@@ -37,16 +41,21 @@ CHUNK_WINDOWS = 2048
 EDGES = b".,;:!?\"'()[]{}<>*_-"
 
 
-def codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of words: of the word, of its trigrams (flat, with starts), of its first bytes."""
-    framed = [b"\x01" + (w.strip(EDGES) or w) + b"\x02" for w in words]
+def bare(word: bytes) -> bytes:
+    return word.strip(EDGES) or word
+
+
+def codes(words: list[bytes], known: dict[bytes, int]
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of words: of the word, of its trigrams (flat, with starts), of its first bytes."""
+    plain = [bare(w) for w in words]
+    word = np.array([known.get(w, 0) for w in plain], np.int64)
+    framed = [b"\x01" + w + b"\x02" for w in plain]
     sizes = np.fromiter(map(len, framed), np.int64, len(framed))
     flat = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     place = np.arange(len(flat)) - np.repeat(begin, sizes)
     powers = np.random.default_rng(3).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
-    whole = np.add.reduceat((flat + np.uint64(7)) * powers[place % 64], begin)
-    word = (whole >> np.uint64(40)) % np.uint64(WORD_SLOTS)
     first = np.where(place < PREFIX_BYTES, (flat + np.uint64(7)) * powers[place % 64], 0)
     prefix = (np.add.reduceat(first.astype(np.uint64), begin) >> np.uint64(41)) % np.uint64(CHAR_SLOTS)
     inner = np.repeat(sizes, sizes) - place > 2
@@ -54,7 +63,7 @@ def codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     grams = (flat[at] * powers[1] + flat[at + 1] * powers[2] + flat[at + 2] * powers[3])
     grams = (grams >> np.uint64(42)) % np.uint64(CHAR_SLOTS)
     starts = np.concatenate(([0], np.cumsum(sizes - 2)[:-1]))
-    return word.astype(np.int64), grams.astype(np.int64), starts, prefix.astype(np.int64)
+    return word, grams.astype(np.int64), starts, prefix.astype(np.int64)
 
 
 def window_starts(n: int, window: int, stride: int) -> list[int]:
@@ -67,15 +76,17 @@ def window_starts(n: int, window: int, stride: int) -> list[int]:
 class Network:
     """Parameters, the forward pass, and its gradient."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, seed: int = SEED, vocabulary: list[bytes] = ()):
+        self.known = {w: i for i, w in enumerate(vocabulary, 1)}
         rng = np.random.default_rng(seed)
 
         def draw(*shape: int, scale: float) -> np.ndarray:
             return rng.normal(0, scale, shape).astype(np.float32)
 
-        # Embeddings start at zero: what training never met has no say.
+        # Embeddings start at zero: what training never met has no say. Row 0 is for words that
+        # have none of their own.
         self.p = {
-            "word": np.zeros((WORD_SLOTS, EMBED), np.float32),
+            "word": np.zeros((len(self.known) + 1, EMBED), np.float32),
             "char": np.zeros((CHAR_SLOTS, EMBED), np.float32),
             "prefix": np.zeros((CHAR_SLOTS, EMBED), np.float32),
             "w": draw(2, 2 * EMBED, 3 * HIDDEN, scale=0.25),
@@ -85,7 +96,7 @@ class Network:
         }
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        slots = codes(words)
+        slots = codes(words, self.known)
         word, grams, starts, prefix = slots
         counts = np.diff(np.append(starts, len(grams)))
         chars = np.add.reduceat(self.p["char"][grams], starts) / np.sqrt(counts)[:, None]
@@ -170,6 +181,7 @@ class Network:
         dx = np.einsum("ndj,dij->ni", d, self.p["w"])
         counts = np.diff(np.append(starts, len(grams)))
         np.add.at(g["word"], word, dx[:, :EMBED])
+        g["word"][0] = 0
         np.add.at(g["prefix"], prefix, dx[:, EMBED:])
         np.add.at(g["char"], grams,
                   np.repeat(dx[:, EMBED:] / np.sqrt(counts)[:, None], counts, axis=0))
@@ -180,6 +192,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def vocabulary_of(texts: list[list[bytes]]) -> list[bytes]:
+    """Words that get an embedding: those in enough of the training texts, the most frequent."""
+    counts = Counter(w for words in texts for w in {bare(w) for w in words})
+    least = max(LEAST_TEXTS, LEAST_SHARE * len(texts))
+    ranked = sorted((-n, w) for w, n in counts.items() if n >= least)
+    return [w for _, w in ranked[:MOST_WORDS]]
+
+
 def windows_of(rows: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
     """A matrix of word numbers, one line per window, padded with -1."""
     if len(rows) < window:
@@ -194,9 +214,9 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS, seed: int = SEED) -
     worst as well, and moves all parameters by Adam on the balanced log loss. The sample is gone
     through in whole passes until ``steps`` are done.
     """
-    net = Network(seed)
     texts = [(words_of(t), y) for t, y in sample]
     texts = [(w, y) for w, y in texts if w]
+    net = Network(seed, vocabulary_of([w for w, _ in texts]))
     if len({y for _, y in texts}) < 2:
         net.p["o"][:] = 0
         return net
@@ -209,9 +229,9 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS, seed: int = SEED) -
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             batch = [texts[i] for i in order[a:a + BATCH]]
-            vocabulary = sorted({w for words, _ in batch for w in words})
-            number = {w: i for i, w in enumerate(vocabulary)}
-            x, slots = net.inputs(vocabulary)
+            met = sorted({w for words, _ in batch for w in words})
+            number = {w: i for i, w in enumerate(met)}
+            x, slots = net.inputs(met)
             gates = net.gates(x)
             cut = [windows_of(np.array([number[w] for w in words])) for words, _ in batch]
             logits = np.split(net.forward(gates, np.concatenate(cut)),
@@ -225,14 +245,19 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS, seed: int = SEED) -
             at, y = np.concatenate(rows), np.array(target, np.float32)
             logit, kept = net.forward(gates, at, keep=True)
             slope = (1 / (1 + np.exp(-logit)) - y) * np.array(weight, np.float32) / len(batch)
-            g = net.spread(net.gradient(at, kept, slope.astype(np.float32), len(vocabulary)), x, slots)
+            g = net.spread(net.gradient(at, kept, slope.astype(np.float32), len(met)), x, slots)
             step += 1
             rate = RATE * max(0.1, 1 - 0.9 * step / steps)
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
+                square = g[k] ** 2
+                if k in ("word", "char", "prefix"):
+                    # Embeddings lean to one step size, so what many texts agree on moves most.
+                    square = np.sqrt(square * square.max())
+                s[k] = 0.99 * s[k] + 0.01 * square
                 up = (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)
-                net.p[k] = (net.p[k] - rate * up).astype(np.float32)
+                fast = EMBED_RATE if k in ("word", "char", "prefix") else 1.0
+                net.p[k] = (net.p[k] - fast * rate * up).astype(np.float32)
     return net
 
 

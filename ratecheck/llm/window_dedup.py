@@ -179,6 +179,8 @@ def repeated(packs: list[bytes], window: int) -> Iterator[tuple[int, int, int, i
     twin[1:] |= same
     twin[:-1] |= same
     shared, ranked = order[twin], ranked[twin]
+    if not len(shared):
+        return
     edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         group = shared[a:b]
