@@ -101,9 +101,12 @@ def unreadable_documents(pages: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def first_match(text, patterns: list[str]) -> Column:
-    """Group 1 of the first pattern that matches, case ignored, stripped (B2)."""
+    """Group 1 of the first pattern that matches, case ignored, stripped (B2).
+
+    Blanks in a pattern stand for any white space of Unicode, as PDF text often has hard blanks.
+    """
     return F.coalesce(*[
-        F.nullif(strip(F.regexp_extract(col(text), f"(?i){p}", 1)), F.lit("")) for p in patterns])
+        F.nullif(strip(F.regexp_extract(col(text), f"(?iU){p}", 1)), F.lit("")) for p in patterns])
 
 
 def invoice_header(texts: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def invoice_header(texts: DataFrame) -> DataFrame:
         first_match("text", INVOICE_NUMBER).alias("invoice_number"),
         first_match("text", INVOICE_DATE).alias("invoice_date"),
         first_match("text", CUSTOMER_NUMBER).alias("customer_number"),
-        blank_to_null(F.regexp_extract("text", CUSTOMER_NAME, 1)).alias("customer_name"))
+        blank_to_null(F.regexp_extract("text", "(?U)" + CUSTOMER_NAME, 1)).alias("customer_name"))
     return found.withColumn("missing_fields", F.array_compact(F.array(
         F.when(F.col("invoice_number").isNull(), "invoice_number"),
         F.when(F.col("invoice_date").isNull(), "invoice_date"))))
@@ -168,7 +171,7 @@ def split_lines(texts: DataFrame) -> DataFrame:
 # A separator no invoice text holds.
 MARK = "\x01"
 # Fixed value: every written form ends in a rate and a total.
-HAS_AMOUNTS = r"\d\.\d{2,3}\s+\d+\.\d{2}"
+HAS_AMOUNTS = r"(?U)\d\.\d{2,3}\s+\d+\.\d{2}"
 
 
 def _fields(line: Column, pattern: str, tail: str, *wanted: str) -> Column:
@@ -178,9 +181,9 @@ def _fields(line: Column, pattern: str, tail: str, *wanted: str) -> Column:
     patterns backtrack a lot on lines of another form; ``tail``, the closing part they
     must match anyway, sorts those out first.
     """
-    whole = "(?s)" + pattern if pattern.startswith("^") else "(?s)^.*?" + pattern + ".*$"
+    whole = "(?sU)" + pattern if pattern.startswith("^") else "(?sU)^.*?" + pattern + ".*$"
     out = F.regexp_replace(line, whole, MARK.join(wanted))
-    return F.when(line.rlike(tail), F.when(out.contains(MARK), out))
+    return F.when(line.rlike("(?U)" + tail), F.when(out.contains(MARK), out))
 
 
 def parse_line(line) -> Column:

@@ -16,7 +16,8 @@ ORACLE: dict[str, str] = {}
 # The invoice pages as text expressions; the two dialects share everything but the names
 # of three functions, so one template serves both.
 HEADER_TEXT = """concat(
-    CASE o_orderstatus WHEN 'O' THEN 'INVOICE NUMBER ' WHEN 'F' THEN 'Invoice # '
+    CASE o_orderstatus WHEN 'O' THEN concat('INVOICE',
+         CASE WHEN o_orderpriority = '3-MEDIUM' THEN {nb} ELSE ' ' END, 'NUMBER ') WHEN 'F' THEN 'Invoice # '
          ELSE 'invoice number: ' END, 10000000 + o_orderkey, {nl},
     CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'no date'
          WHEN o_orderpriority = '1-URGENT' THEN concat('Date ', {date})
@@ -33,13 +34,14 @@ AMOUNT_TEXT = """concat(
          ELSE 'SUBTOTAL (ALL PAGES)  ' END, {amount}, {nl},
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'Shipping $12.50' ELSE 'FREIGHT 12.50' END, {nl},
     CASE WHEN o_orderpriority = '5-LOW' THEN '' WHEN o_orderstatus = 'F' THEN 'Sales Tax: $7.25'
-         ELSE 'TAX 7.25' END, {nl}, 'TOTAL $', {total})"""
+         ELSE concat('TAX', {nb}, '7.25') END, {nl}, 'TOTAL $', {total})"""
 SHORT = "o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P'"
 LAST_TEXT = "CASE WHEN o_orderstatus = 'F' THEN '' WHEN o_orderstatus = 'O' THEN 'Thank you' END"
 LINE_TEXT = """CASE
     WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN concat(l_linenumber,
         ' Anthony Carson GP', p_partkey, 'NAVY ', upper(p_name), ' 40X28 ',
-        CASE WHEN l_tax > 0.04 THEN 'Rent' ELSE 'Ruin charge' END, ' ', {qty}, ' ', {rate3}, ' ',
+        CASE WHEN l_tax > 0.04 THEN 'Rent' ELSE 'Ruin charge' END,
+        CASE WHEN l_tax > 0.06 THEN {nb} ELSE ' ' END, {qty}, ' ', {rate3}, ' ',
         {rate2})
     WHEN l_returnflag = 'R' THEN concat(l_linenumber, ' Anthony Carson ',
         CASE WHEN l_tax > 0.04 THEN 'PREP CHARGE' ELSE 'NAME EMBL CHARGE' END, ' ', {qty}, ' ',
@@ -51,7 +53,7 @@ LINE_TEXT = """CASE
     ELSE concat('note ', l_quantity, ' ', p_name) END"""
 
 SPARK_NAMES = {
-    "nl": "'\\n'", "date": "date_format(o_orderdate, 'MM/dd/yyyy')",
+    "nl": "'\\n'", "nb": "'\\u00a0'", "date": "date_format(o_orderdate, 'MM/dd/yyyy')",
     "amount": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)",
     "total": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 19.75 AS STRING)",
     "qty": "CAST(l_quantity AS INT)",
@@ -60,7 +62,7 @@ SPARK_NAMES = {
 }
 DUCK_NAMES = {
     **{k: s.replace("STRING", "VARCHAR") for k, s in SPARK_NAMES.items()},
-    "nl": "chr(10)", "date": "strftime(o_orderdate, '%m/%d/%Y')",
+    "nl": "chr(10)", "nb": "chr(160)", "date": "strftime(o_orderdate, '%m/%d/%Y')",
 }
 
 
@@ -84,6 +86,22 @@ def order_lines(v: DriverViews):
         f"{LINE_TEXT.format(**SPARK_NAMES)} AS line")
 
 
+# The three written forms of a line item.
+GARMENT = (r"(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN"
+           r"|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)"
+           r"\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})")
+CHARGE = (r"(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)\s+(\d+)"
+          r"\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})")
+PLAIN = (r"^([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+(Rent|X)\s+(\d+)"
+         r"\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})$")
+
+
+def groups(pattern: str, *wanted: int) -> str:
+    """A SQL list with the wanted groups of a pattern at their numbers."""
+    return "[" + ", ".join(f"regexp_extract(line, '{pattern}', {i})" if i in wanted else "NULL"
+                           for i in range(1, max(wanted) + 1)) + "]"
+
+
 TEXT_VIEWS = {
     **AUDIT_VIEWS,
     "v_pages": f"""
@@ -114,7 +132,7 @@ TEXT_VIEWS = {
                  AS customer_number,
                nullif(regexp_replace(regexp_extract(text, 'Ship\\s+To:\\s*([A-Z\\s\\-]+)', 1),
                                      '^\\s+|\\s+$', '', 'g'), '') AS customer_name
-        FROM v_texts""",
+        FROM (SELECT doc_id, replace(text, chr(160), ' ') AS text FROM v_texts)""",
     "v_section_text": """
         SELECT doc_id, section_type, section_pos, CAST(a AS DECIMAL(18,4)) AS amount FROM (
           SELECT doc_id, s.t AS section_type, s.p AS section_pos, CASE s.t
@@ -133,7 +151,8 @@ TEXT_VIEWS = {
               nullif(regexp_extract(text, '(?i)TOTAL\\s+\\$(\\d+\\.\\d{2})', 1), ''),
               nullif(regexp_extract(text, '(?i)Total\\s*:?\\s*\\$?(\\d+\\.\\d{2})', 1), ''))
             END AS a
-          FROM v_texts, (VALUES ('SUBTOTAL', 1), ('FREIGHT', 2), ('TAX', 3), ('TOTAL', 4)) s(t, p))
+          FROM (SELECT doc_id, replace(text, chr(160), ' ') AS text FROM v_texts),
+               (VALUES ('SUBTOTAL', 1), ('FREIGHT', 2), ('TAX', 3), ('TOTAL', 4)) s(t, p))
         WHERE a IS NOT NULL""",
     "v_text_lines": f"""
         SELECT 'doc-' || l_orderkey AS doc_id, l_linenumber AS line_no,
@@ -141,7 +160,7 @@ TEXT_VIEWS = {
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "v_items": r"""
         SELECT * FROM (
-          SELECT doc_id, line_no, line, CASE
+          SELECT doc_id, line_no, raw, CASE
             WHEN regexp_matches(upper(line), 'WEARER#|WEARER NAME|ITEM CODE|ITEM DESCRIPTION|SIZE|TYPE|BILL QTY|RATE|TOTAL|SUBTOTAL|FREIGHT|TAX |THANK YOU|VISIT US|BILLING INQUIRIES|CUSTOMER SERVICE|ACCOUNT NUMBER|INVOICE NUMBER|INVOICE DATE|PAGE |SHIP TO|MARKET CENTER|ROUTE NUMBER')
               OR (regexp_matches(upper(line), '^(WEARER|ITEM|DESCRIPTION|SIZE|TYPE)(\s|$)')
                   AND NOT regexp_matches(line, '[0-9]')) THEN NULL
@@ -151,26 +170,11 @@ TEXT_VIEWS = {
             WHEN p[1] <> '' THEN {'code': p[1], 'description': p[2], 'kind': p[3], 'rate': p[5]}
             END AS item
           FROM (SELECT *,
-                  [regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 1),
-                   NULL,
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 3),
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 4),
-                   NULL,
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 6),
-                   NULL,
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+([A-Z0-9X]+|X)\s+(Rent|Loss\s+Charge|Ruin\s+charge|PREP\s+CHARGE|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 8)] AS g,
-                  [regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 1),
-                   NULL,
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 3),
-                   NULL,
-                   regexp_extract(line, '(\d+)\s+([A-Z][A-Za-z\s\-\.]+?)\s+(NAME\s+EMBL\s+CHARGE|PREP\s+CHARGE)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})', 5)] AS c,
-                  [regexp_extract(line, '^([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+(Rent|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})$', 1),
-                   regexp_extract(line, '^([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+(Rent|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})$', 2),
-                   regexp_extract(line, '^([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+(Rent|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})$', 3),
-                   NULL,
-                   regexp_extract(line, '^([A-Z0-9]+(?:NAVY|NVOT|CHAR|LGOT|SCGR|BLAK|WHIT|SLVN|GREY)?)\s+(.+?)\s+(Rent|X)\s+(\d+)\s+(\d+\.\d{2,3})\s+(\d+\.\d{2})$', 5)] AS p
-                FROM v_text_lines))
-        WHERE item IS NOT NULL""",
+                  {garment} AS g, {charge} AS c, {plain} AS p
+                FROM (SELECT doc_id, line_no, line AS raw, replace(line, chr(160), ' ') AS line
+                      FROM v_text_lines)))
+        WHERE item IS NOT NULL""".replace("{garment}", groups(GARMENT, 1, 3, 4, 6, 8)).replace(
+        "{charge}", groups(CHARGE, 1, 3, 5)).replace("{plain}", groups(PLAIN, 1, 2, 3, 5)),
 }
 
 
@@ -279,7 +283,7 @@ def _(v):
     SELECT doc_id, CAST(line_no AS VARCHAR) AS line_number, item.code AS part_number,
            item.description AS description, item.kind AS item_type,
            CAST(CAST(item.rate AS DECIMAL(18,4)) AS DOUBLE) AS rate, 1 AS quantity,
-           CAST(CAST(item.rate AS DECIMAL(18,4)) AS DOUBLE) AS total, line AS raw_text
+           CAST(CAST(item.rate AS DECIMAL(18,4)) AS DOUBLE) AS total, raw AS raw_text
     FROM v_items""")
 def _(v):
     return doubles(tl.text_line_items(order_lines(v)).drop("row_idx", "line_id"), "rate", "total")
