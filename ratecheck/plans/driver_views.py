@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ratecheck.functions.keys import composite_key
 from ratecheck.operators.master import first_per_key
 from ratecheck.session import configure
-from ratecheck.sources.tables import fill_cores, read_table
+from ratecheck.sources.tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -39,13 +39,6 @@ PART_COLUMNS = [
 ]
 
 
-ROW_KEYS = {
-    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
-    "orders": ("o_orderkey",),
-    "documents": ("doc_id",),
-}
-
-
 class DriverViews:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
@@ -54,10 +47,6 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
-    def facts(self, name: str) -> DataFrame:
-        """A table with much work per row."""
-        return fill_cores(self.table(name), *ROW_KEYS[name])
-
     # ---- master table -------------------------------------------------------------
     def parts_all(self) -> DataFrame:
         """Every part, before key uniqueness; ``row_no`` is the arrival order."""
@@ -86,7 +75,7 @@ class DriverViews:
         )
 
     def lines(self) -> DataFrame:
-        priced = self.facts("lineitem").join(
+        priced = self.table("lineitem").join(
             self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         return priced.selectExpr(
             "concat('doc-', l_orderkey) AS doc_id",

@@ -7,17 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that yields fewer tasks than there are cores.
-
-    A small file is one row group and so one task, whatever the work per row. ``keys``
-    tell rows apart; a hash of them needs no sort, and a lost task is redone with the same
-    rows. Where the scan already yields enough tasks, as any large table does, nothing is
-    added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys)
-    return df

@@ -231,3 +231,18 @@ def test_hot_key_is_split_and_whole(spark, master):
     finally:
         for k, value in old.items():
             spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+def test_large_numbers_neither_abort_nor_vanish(spark, master):
+    frame = spark.createDataFrame(
+        [("d1", 1, "1", "NEW1", "BIG", "Rent", "12345678901.2345", "3000000000", None),
+         ("d1", 2, "2", "NEW2", "ODD", "Rent", "0.5", "2.9", "1.00")],
+        "doc_id string, row_idx bigint, line_id string, part_number string, description string, "
+        "item_type string, rate string, quantity string, total string")
+    lines = li.normalize_lines(frame)
+    rows = lines.orderBy("row_idx").collect()
+    assert [r.quantity for r in rows] == [3_000_000_000, 2]
+    assert rows[0].total == Decimal("12345678901.2345") * 3_000_000_000
+    verdicts = val.verdicts_with_acceptance(lines, master, AS_OF)
+    assert {r.validation_status for r in verdicts.collect()} == {"PASSED"}
+    assert val.line_amounts(val.line_verdicts(lines, master)).count() == 2

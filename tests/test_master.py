@@ -234,3 +234,16 @@ def test_extraction_records_with_missing_keys(spark, tmp_path):
     assert (row.invoice_date, row.description, row.source, row.quantity) == ("", "", "extracted", 2)
     assert row.rate == Decimal("1.1500") and row.total is None
     assert records.flat_sections(records_frame).first().amount == Decimal("2.3000")
+
+
+def test_requests_by_key_and_by_number_are_one_part(spark, master):
+    part = master.filter("part_number = 'TOOL001'").first()
+    requests = spark.createDataFrame(
+        [(1, part.composite_key), (2, "TOOL001"), (3, "TOOL001"), (4, "NOPE")],
+        "row_no bigint, part_number string")
+    deleted = bulk.delete_outcomes(requests, master, soft=False).orderBy("row_no").collect()
+    assert [r.outcome for r in deleted] == ["deleted", "not_found", "not_found", "not_found"]
+    idle = master.withColumn("is_active", F.lit(False))
+    active = bulk.activate_outcomes(requests, idle).orderBy("row_no").collect()
+    assert [r.outcome for r in active] == ["activated", "already_active", "already_active",
+                                           "not_found"]
