@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratecheck.functions.keys import is_blank
+from ratecheck.session import cut_lineage
 
 
 def _two_places(c: Column) -> Column:
@@ -40,56 +41,29 @@ def category_breakdown(master: DataFrame) -> DataFrame:
         F.desc("count"), "category")
 
 
-def upper_median(df: DataFrame, column: str = "authorized_price", digits: int = 4) -> DataFrame:
-    """The element at position n // 2 of the sorted decimal column, exactly.
+def upper_median(df: DataFrame, column: str = "authorized_price", parts: int = 32) -> DataFrame:
+    """The element at position n // 2 of the sorted column, exactly.
 
-    Values are counted once each, then the rank is narrowed down by leading digits: each
-    step sums the counts by the next ``digits`` digits, at most 10**digits groups, and
-    keeps the group that holds the rank. No step sorts or gathers the column.
+    Values are counted once each and range-partitioned. The rows before a value are those of
+    the ranges before, one sum per range, and those before it in its own range; the value
+    whose span holds the rank is the median. No rows give no row.
     """
-    field = df.schema[column].dataType
-    precision, scale = field.precision, field.scale
-    whole = (F.col(column) * F.lit(10 ** scale)).cast(f"decimal({precision},0)")
-    counts = df.filter(F.col(column).isNotNull()).groupBy(
-        whole.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    state = total.select(
-        F.floor(F.col("total") / 2).cast("bigint").alias("rank"),
-        F.lit(0).cast("decimal(38,0)").alias("prefix"))
-    rest = counts
-    power = -(-precision // digits) * digits
-    first = True
-    while power > 0:
-        power -= digits
-        step = F.floor(F.col("value") / F.lit(10 ** power)).cast("decimal(38,0)")
-        level = rest.withColumn("group", step)
-        if not first:
-            level = level.filter(
-                F.floor(F.col("group") / F.lit(10 ** digits)) == state.select("prefix").scalar())
-        sums = level.groupBy("group").agg(F.sum("n").alias("n"))
-        state = _group_of_rank(sums, state)
-        rest = counts
-        first = False
-    return state.select(
-        (F.col("prefix") / F.lit(10 ** scale)).cast(f"decimal({precision},{scale})")
-        .alias("median"))
-
-
-def _group_of_rank(sums: DataFrame, state: DataFrame) -> DataFrame:
-    """The group that holds the rank, and the rank inside it."""
-    ordered = sums.agg(
-        F.array_sort(F.collect_list(F.struct("group", "n"))).alias("groups")
-    ).withColumn("rank", state.select("rank").scalar())
-    start = F.struct(F.col("rank"), F.lit(None).cast("decimal(38,0)").alias("prefix"))
-
-    def walk(acc, item):
-        here = acc["prefix"].isNull() & (acc["rank"] < item["n"])
-        skip = acc["prefix"].isNull() & ~here
-        return F.struct(
-            F.when(skip, acc["rank"] - item["n"]).otherwise(acc["rank"]).alias("rank"),
-            F.when(here, item["group"]).otherwise(acc["prefix"]).alias("prefix"))
-
-    return ordered.select(F.aggregate("groups", start, walk).alias("s")).select("s.*")
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("median")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ranged = cut_lineage(
+        counts.repartitionByRange(parts, "median").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("part_n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sums.select(
+        "part", F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("before"),
+        F.floor(F.sum("part_n").over(everything) / 2).alias("rank"))
+    inside = Window.partitionBy("part").orderBy("median").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("before") + F.sum("n").over(inside)
+    placed = ranged.join(offsets, "part").withColumn("upto", upto)
+    return placed.filter("upto - n <= rank AND rank < upto").select("median")
 
 
 def detailed_statistics(master: DataFrame) -> DataFrame:

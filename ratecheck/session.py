@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: nothing here needs a restart, and no value depends on the
@@ -22,16 +24,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names, else one below the warehouse."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(
-            shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for intermediate data, else one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize a small iterative state so that each round plans from files."""
-    ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write what several branches of a plan read, so that it is computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

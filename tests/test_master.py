@@ -170,7 +170,7 @@ def test_upper_median_of_many_values(spark):
     frame = spark.range(5001).selectExpr(
         "CAST((id * 7919 % 5003) * 123.4567 AS DECIMAL(10,4)) AS authorized_price")
     values = sorted(r[0] for r in frame.collect())
-    assert stats.upper_median(frame, digits=3).first()[0] == values[len(values) // 2]
+    assert stats.upper_median(frame, parts=7).first()[0] == values[len(values) // 2]
 
 
 def test_statistics_keep_their_own_category_rules(master):

@@ -57,3 +57,15 @@ def test_entry(spark):
     assert frame.columns == ["doc_id", "total_parts", "passed_parts", "failed_parts",
                              "unknown_parts"]
     assert frame.count() > 0
+
+
+@pytest.mark.parametrize("name", ["f2_invoice_report", "f3_batch_report", "f6_text_report"])
+def test_reports_read_the_lines_once(spark, data, name):
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_known_keys_leave_before_lines_are_compared(spark, data):
+    plan = QUERIES["e1_unknown_parts"](spark, data)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    assert text.index("Aggregate") < text.index("LeftAnti")
