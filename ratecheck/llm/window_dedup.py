@@ -1,7 +1,7 @@
 """Substring duplicates by super-k-mers: runs of windows that share a minimiser travel together.
 
-A window is ``WINDOW`` consecutive words. Its minimiser is the smallest hash of the word triples
-in it. A run of windows with one minimiser is packed as one string of words (a super-k-mer) and
+A window is ``WINDOW`` consecutive words. Its minimiser is the smallest hash of the word pairs in
+it. A run of windows with one minimiser is packed as one string of words (a super-k-mer) and
 goes to the bucket of the minimiser, so all copies of a window meet in one bucket. There the
 windows of strings that share a minimiser are sorted and the smallest document id of each
 window is read off.
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 13
-MER_WORDS = 3
+MER_WORDS = 2
 MER_BYTES = 5 * MER_WORDS
 FLUSH_BYTES = 48 << 20
 BUCKET_BYTES = 32 << 20
@@ -55,7 +55,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def minimisers(hashes: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
     """The minimiser of every window of a text, from its words' hashes and lengths.
 
-    Triples of short words are frequent, so they rank after all others.
+    Pairs of short words are frequent, so they rank after all others.
     """
     n = len(hashes) - MER_WORDS + 1
     mers, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
@@ -282,13 +282,27 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col(text_column).cast("string").alias("text"))
     found = marks(rows, window).groupBy("id", "tag").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(found, ["id", "tag"], "left").select("doc_id", "text", "spans")
+    kind = dict(docs.dtypes)[id_column]
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            texts = [press((t.as_py() or "").encode()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("id"), batch.column("tag"),
+                 pa.array(texts, pa.binary())], names=["doc_id", "id", "tag", "packed"])
+
+    # Texts meet their spans in a shuffle; they travel compressed.
+    packed = rows.withColumn("tag", F.coalesce("tag", F.lit(-1))).mapInArrow(
+        shrink, f"doc_id {kind}, id long, tag long, packed binary")
+    joined = packed.join(found, ["id", "tag"], "left").select("doc_id", "packed", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
-                words = (text.as_py() or "").encode().split()
+            for text, spans in zip(batch.column("packed"), batch.column("spans")):
+                words = expand(text.as_py()).split()
                 gone = np.zeros(len(words), bool)
                 for span in spans.as_py() or []:
                     gone[span["start"]:span["stop"] + window - 1] = True
@@ -300,6 +314,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                  pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    kind = dict(joined.dtypes)["doc_id"]
     return joined.mapInArrow(
         cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
