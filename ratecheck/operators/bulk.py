@@ -123,8 +123,9 @@ def delete_outcomes(requests: DataFrame, master: DataFrame, soft: bool = True,
     return out if soft else out.drop("_first")
 
 
-def apply_deletes(outcomes: DataFrame, master: DataFrame, soft: bool = True) -> DataFrame:
-    return delete_parts(master, outcomes.filter("outcome = 'deleted'"), "part_number", soft)
+def apply_deletes(outcomes: DataFrame, master: DataFrame, soft: bool = True,
+                  as_of: str | None = None) -> DataFrame:
+    return delete_parts(master, outcomes.filter("outcome = 'deleted'"), "part_number", soft, as_of)
 
 
 def delete_preview(requests: DataFrame, master: DataFrame, soft: bool = True) -> DataFrame:

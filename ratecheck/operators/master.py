@@ -155,8 +155,12 @@ def update_parts(master: DataFrame, changes: DataFrame, as_of: str, rekey: bool,
     return out.select(*master.columns)
 
 
-def delete_parts(master: DataFrame, ids: DataFrame, column: str, soft: bool = True) -> DataFrame:
-    """Remove or deactivate every row whose key or number is requested."""
+def delete_parts(master: DataFrame, ids: DataFrame, column: str, soft: bool = True,
+                 as_of: str | None = None) -> DataFrame:
+    """Remove or deactivate every row whose key or number is requested.
+
+    A deactivated row is updated at ``as_of``.
+    """
     wanted = ids.select(F.col(column).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
     by_key = F.col("composite_key") == F.col("_id")
     by_num = F.col("part_number") == F.col("_id")
@@ -167,7 +171,10 @@ def delete_parts(master: DataFrame, ids: DataFrame, column: str, soft: bool = Tr
     marked = master.join(key_hits, by_key, "left").join(
         num_hits, F.col("part_number") == F.col("_num"), "left")
     hit = F.coalesce("_key_hit", "_num_hit", F.lit(False))
-    return marked.withColumn("is_active", F.col("is_active") & ~hit).select(*master.columns)
+    updated = F.when(hit & F.lit(as_of is not None), F.lit(as_of).cast("timestamp")).otherwise(
+        F.col("last_updated"))
+    return marked.withColumns({"is_active": F.col("is_active") & ~hit, "last_updated": updated}
+                              ).select(*master.columns)
 
 
 def set_category(master: DataFrame, ids: DataFrame, column: str, category: str,

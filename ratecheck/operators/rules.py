@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratecheck.session import written
+
 Rule = Callable[[str], Column]
 
 
@@ -123,8 +125,10 @@ def error_digest(errors: DataFrame, shown: int = 10, advice_shown: int = 5) -> D
     """A short digest of many errors as ordered text rows (H3).
 
     ``errors`` has ``row_no, field, message, severity``. Per severity only the first
-    ``shown`` rows leave the top-k; every later step works on those few rows.
+    ``shown`` rows leave the top-k; every later step works on those few rows. The errors are
+    written once, as each part of the digest reads them.
     """
+    errors = written(errors.select("row_no", "field", "message", "severity"))
     counts = errors.groupBy("severity").count()
     totals = counts.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total"),

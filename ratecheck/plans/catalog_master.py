@@ -297,10 +297,15 @@ def _(v):
 
 @register("c10_soft_delete", f"""
     SELECT {SHOWN_SQL.replace('is_active', '''is_active AND part_number NOT IN
-        (SELECT part_number FROM v_requests) AS is_active''')} FROM v_master""")
-def _(v):
-    return shown(mas.delete_parts(v.master(), csv_files.part_numbers(v.change_rows()),
-                                  "part_number", soft=True))
+        (SELECT part_number FROM v_requests) AS is_active''')},
+      strftime(CASE WHEN part_number IN (SELECT part_number FROM v_requests)
+                    THEN TIMESTAMP '{AS_OF}' ELSE last_updated END, '%Y-%m-%d %H:%M:%S')
+        AS last_updated FROM v_master""")
+def _(v):
+    after = mas.delete_parts(v.master(), csv_files.part_numbers(v.change_rows()),
+                             "part_number", soft=True, as_of=AS_OF)
+    return doubles(after.select(*SHOWN, F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss")
+                                .alias("last_updated")), "authorized_price")
 
 
 @register("c10_hard_delete", f"""
