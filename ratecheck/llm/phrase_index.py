@@ -84,12 +84,16 @@ def index(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def candidates(postings: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``phrase, id, tag, start`` where all anchors of a phrase stand at their offsets."""
+    """``phrase, id, tag, start`` where all anchors of a phrase stand at their offsets.
+
+    Anchors are met, not counted: rows of one id and text share their postings.
+    """
     shifted = postings.join(small(chosen, BROADCAST_ROWS), "term").select(
-        "phrase", "id", "tag", (F.col("pos") - F.col("off")).alias("start"), "need")
+        "phrase", "id", "tag", (F.col("pos") - F.col("off")).alias("start"), "need",
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rank") - 1).alias("bit"))
     met = shifted.filter("start >= 0").groupBy("phrase", "id", "tag", "start").agg(
-        F.count("*").alias("n"), F.first("need").alias("need"))
-    return met.filter("n = need").select("phrase", "id", "tag", "start")
+        F.bit_or("bit").alias("bits"), F.first("need").alias("need"))
+    return met.filter(F.bit_count("bits") == F.col("need")).select("phrase", "id", "tag", "start")
 
 
 def near_candidates(postings: DataFrame, chosen: DataFrame, slack: int) -> DataFrame:

@@ -184,3 +184,15 @@ def test_phrases_of_nothing(spark, documents):
     assert [(r.n_words, r.n_hit) for r in phrase_index.phrase_matches(docs, none).collect()] == [(2, 0)]
     some = spark.createDataFrame([(1, "some words", "q")], ITEMS)
     assert phrase_index.phrase_matches(docs.limit(0), some).count() == 0
+
+
+def test_repeated_rows_hold_their_phrases(spark, documents, prose):
+    phrase = prose(9, 12)
+    held = prose(60, 20) + " " + phrase + " " + prose(61, 20)
+    rows = [(1, held, "a"), (1, held, "a"), (1, held, "b"), (None, held, "a"), (None, held, "a"),
+            (2, held, "a"), (3, prose(62, 30), "a"), (3, prose(62, 30), "a")]
+    items = [(1, phrase)]
+    frame = spark.createDataFrame([(*x, "q") for x in items], ITEMS)
+    got = phrase_index.phrase_matches(documents(rows), frame).collect()
+    want = sorted(map(repr, brute_hits(rows, items, 10)))
+    assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, list(r["items"]))) for r in got) == want
