@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
     line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix,
-    toxicity, url_lists, warc_store, window_dedup,
+    toxicity, turn_oracle, turn_repair, url_lists, warc_store, window_dedup,
 )
 from ratecheck.llm.common import table
 
@@ -73,6 +73,12 @@ def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.damage_and_repair(table(spark, folder, "conversations")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        "repaired_sha256")
+
+
 QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op2_source_mix": op2_source_mix,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_phrase_index": op9_phrase_index,
     "op10_window_dedup": op10_window_dedup,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE = {
@@ -94,4 +101,5 @@ ORACLE = {
     "op8_line_rules": oracle.LINE_RULES,
     "op9_phrase_index": oracle.PHRASE_INDEX,
     "op10_window_dedup": oracle.WINDOW_DEDUP,
+    "op13_turn_repair": turn_oracle.TURN_REPAIR,
 }

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from ratecheck.llm import catalog
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings conversations".split()
 NATIVE = ("op2_source_mix", "op6_shards", "op8_line_rules", "op9_phrase_index")
 
 
@@ -19,8 +19,8 @@ def duck(data):
     return con
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+def test_all_and_the_pipeline_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "near-duplicates", "decontamination", "source mix", "sharding"]
     assert corpus_pipeline.ORACLE_SQL is None
