@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratecheck.llm import (
-    hard_negatives, line_rules, list_views, oracle, phrase_index, quality_model, shards, simhash, source_mix,
-    toxicity, turn_oracle, turn_repair, url_lists, warc_store, window_dedup,
+    hard_negatives, interpolated_lm, line_rules, list_views, oracle, phrase_index, quality_model,
+    shards, simhash, source_mix, toxicity, turn_oracle, turn_repair, url_lists, warc_store,
+    window_dedup,
 )
 from ratecheck.llm.common import table
 
@@ -73,6 +74,10 @@ def op10_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, folder, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = hard_negatives.quantised(table(spark, folder, "embeddings"))
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_phrase_index": op9_phrase_index,
     "op10_window_dedup": op10_window_dedup,
+    "op11_interpolated_lm": op11_interpolated_lm,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_turn_repair": op13_turn_repair,
 }
