@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: nothing here needs a restart, and no value depends on the
@@ -44,3 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """Mark what several branches of one plan read: computed once, when a job first needs it.
+
+    Nothing runs while the plan is built. Parts lie on the executors, on disk where memory is short; a lost
+    part is computed again. ``spark.catalog.clearCache()`` lets go of them.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
