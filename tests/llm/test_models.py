@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratecheck.llm import line_rules, quality_model, simhash, stages, toxicity
+from ratecheck.llm import line_rules, near_copies, quality_model, stages, toxicity
+from test_near_copies import brute_groups
 
 
 def test_lines_are_judged_first(spark, documents, edge_rows, prose):
@@ -172,25 +173,43 @@ def test_pipeline_stages(spark, data, tmp_path):
     for frame in (kept, single, clean, mixed):
         assert frame.columns == docs.columns
     assert 0.5 * docs.count() < kept.count() < docs.count()
-    printed, named = simhash.groups(kept)
-    groups = {r.component_id for r in named.collect()}
+    groups = {r.first for r in near_copies.groups(kept).collect()}
     assert {r.doc_id for r in single.collect()} == groups and single.count() == len(groups)
+    rows = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    brute = brute_groups([t for _, t in rows])
+    assert groups == {rows[i][0] for i in set(brute)}
     hit = stages.drop_contaminated(spark, clean, data)
     assert hit.count() == clean.count() < single.count()
     words = F.sum(F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
-    assert mixed.agg(words).first()[0] == pytest.approx(1.5 * clean.agg(words).first()[0], abs=20)
+    whole = {(r.doc_id, r.text) for r in clean.collect()}
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= whole
+    most = clean.agg(F.max(F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))).first()[0]
+    sources = clean.select("source").distinct().count()
+    want = 1.5 * clean.agg(words).first()[0]
+    assert want - 20 <= mixed.agg(words).first()[0] <= want + 20 + most * sources
     assert dealt.count() == mixed.count()
     assert dealt.groupBy("doc_id").count().collect().__len__() == mixed.select("doc_id").distinct().count()
 
 
 def test_stages_take_odd_rows(spark, documents, edge_rows, data):
-    docs = documents(edge_rows).withColumn("_score", F.lit(1)).withColumn("tag", F.lit(2))
+    docs = documents(edge_rows)
+    clashes = ("_score", "_stats", "_own", "_id", "_tag", "_node", "_label", "_first", "_best", "_row", "_tie",
+               "_from", "tag", "size", "number", "bucket", "label", "key")
+    for name in clashes:
+        docs = docs.withColumn(name, F.lit(99))
+    good = stages.keep_quality(spark, docs, data)
     single = stages.drop_near_copies(spark, docs, data)
-    assert single.columns == docs.columns
-    named = simhash.groups(docs)[1]
-    assert single.count() == named.select("label").distinct().count()
+    assert single.count() == near_copies.groups(docs).select("label").distinct().count()
+    again = stages.drop_near_copies(spark, docs.repartition(7), data)
+    assert sorted(single.collect(), key=repr) == sorted(again.collect(), key=repr)
     clean = stages.drop_contaminated(spark, docs, data)
     assert clean.count() == len(edge_rows)
     mixed = stages.mix_sources(spark, docs, data)
-    assert mixed.columns == docs.columns and mixed.filter("text is null").count() == 0
-    assert stages.deal_shards(spark, docs, data).count() == len(edge_rows)
+    assert mixed.filter("text is null").count() == 0
+    for frame in (good, single, clean, mixed):
+        assert frame.columns == docs.columns
+        assert frame.filter(" OR ".join(f"{c} <> 99" for c in clashes)).count() == 0
+    assert stages.deal_shards(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), data
+                              ).count() == len(edge_rows)
+    for _, function in stages.STAGES:
+        assert function(spark, docs.limit(0), data).count() == 0
