@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratecheck.functions.keys import is_blank, strip
+from ratecheck.operators.validate import verdict_counts
 from ratecheck.plans.report import section_amounts
 
 
@@ -70,16 +71,21 @@ def invoice_validity(invoices: DataFrame, lines: DataFrame, sections: DataFrame)
          & (F.coalesce("n_sections", F.lit(0)) >= 4)).alias("is_valid"))
 
 
-def quality_gate(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """Broken quality rules per invoice, and a note on partly valid lines."""
+def quality_errors() -> Column:
+    """The quality rules that a counted invoice breaks."""
     number = F.coalesce("invoice_number", F.lit(""))
-    errors = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(~number.rlike(r"^\d+$"),
                F.concat(F.lit("Invalid invoice number format: "),
                         F.coalesce("invoice_number", F.lit("None")))),
         F.when(is_blank("invoice_date"), "Invoice date is missing"),
         F.when(F.col("valid_line_items") == 0, "No valid line items found"),
     ))
+
+
+def quality_gate(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Broken quality rules per invoice, and a note on partly valid lines."""
+    errors = quality_errors()
     partly = (F.col("valid_line_items") > 0) & (
         F.col("valid_line_items") < F.col("total_line_items"))
     note = F.concat(F.lit("Data quality: "), F.col("valid_line_items").cast("string"), F.lit("/"),
@@ -93,3 +99,31 @@ def quality_rejects(gate: DataFrame) -> DataFrame:
     """One row per rejected document, as ``file_outcomes`` expects."""
     return gate.filter(~F.col("passed")).select(
         "doc_id", F.array_join("errors", "; ").alias("error"))
+
+
+def audited_files(invoices: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per file, as ``file_outcomes`` gives it for the rejects of the quality gate.
+
+    Verdict counts and what the gate asks of the lines come from one aggregate per document, so the
+    lines are read once and nothing is kept beside the counts. Documents with verdicts but no invoice row
+    are listed without a folder and pass no gate.
+    """
+    zero = F.lit(0).cast("bigint")
+    counts = verdicts.groupBy("doc_id").agg(
+        *verdict_counts(), F.count_if(is_valid_line()).alias("valid_line_items"))
+    joined = invoices.withColumn("listed", F.lit(True)).join(counts, "doc_id", "full").withColumn(
+        "valid_line_items", F.coalesce("valid_line_items", zero))
+    broken = F.when(F.col("listed") & (F.size(quality_errors()) > 0),
+                    F.array_join(quality_errors(), "; "))
+    no_lines = F.col("total_parts").isNull()
+    bad = F.col("broken").isNotNull() | no_lines
+
+    def unless_bad(value: Column) -> Column:
+        return F.when(bad, F.lit(0)).otherwise(value)
+
+    return joined.withColumn("broken", broken).select(
+        "doc_id", "folder", (~bad).alias("success"),
+        unless_bad(F.col("total_parts")).alias("lines"),
+        unless_bad(F.col("unknown_parts")).alias("unknown_parts"),
+        unless_bad(F.col("failed_parts") + F.col("unknown_parts")).alias("validation_errors"),
+        F.coalesce("broken", F.when(no_lines, "No line items found")).alias("error"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecheck.session import written
+from ratecheck.session import kept_once
 
 Rule = Callable[[str], Column]
 
@@ -126,9 +126,9 @@ def error_digest(errors: DataFrame, shown: int = 10, advice_shown: int = 5) -> D
 
     ``errors`` has ``row_no, field, message, severity``. Per severity only the first
     ``shown`` rows leave the top-k; every later step works on those few rows. The errors are
-    written once, as each part of the digest reads them.
+    computed once, as each part of the digest reads them.
     """
-    errors = written(errors.select("row_no", "field", "message", "severity"))
+    errors = kept_once(errors.select("row_no", "field", "message", "severity"))
     counts = errors.groupBy("severity").count()
     totals = counts.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total"),
@@ -158,6 +158,13 @@ def error_digest(errors: DataFrame, shown: int = 10, advice_shown: int = 5) -> D
         F.when(F.col("total") > 0, F.concat(
             F.lit("Found "), F.col("total").cast("string"), F.lit(" validation error(s):")))
         .otherwise("No validation errors found.").alias("text"))
+    # The line below the head, and the heading of the advice after a blank line.
+    rule = slots.filter("total > 0").select(
+        F.lit(0).alias("block"), F.lit(1).alias("seq"), F.lit("-" * 50).alias("text"))
+    heading = slots.filter("total > 0").select(F.lit(9).alias("block"), F.explode(F.array(
+        F.struct(F.lit(-1).alias("seq"), F.lit("").alias("text")),
+        F.struct(F.lit(0).alias("seq"), F.lit("💡 SUGGESTIONS:").alias("text")))).alias("h")).select(
+        "block", "h.seq", "h.text")
     more = slots.filter(F.col("total") > shown).select(
         F.lit(8).alias("block"), F.lit(0).alias("seq"),
         F.concat(F.lit("... and "), (F.col("total") - shown).cast("string"),
@@ -172,6 +179,6 @@ def error_digest(errors: DataFrame, shown: int = 10, advice_shown: int = 5) -> D
         F.lit(9).alias("block"), place.alias("seq"),
         F.concat(F.lit("  • "), F.col("advice")).alias("text"))
     out = head
-    for part in (*parts, more, tips):
+    for part in (rule, *parts, more, heading, tips):
         out = out.unionByName(part)
     return out

@@ -156,7 +156,7 @@ def _literal(words: list[str]) -> str:
 def is_heading_line(line) -> Column:
     """Heading or sum, not a line item."""
     upper = F.upper(col(line))
-    first_word = F.regexp_extract(upper, f"^{WHITE}*([^\\s]+)", 1)
+    first_word = F.regexp_extract(upper, f"^{WHITE}*([^{WHITE[1:]}+)", 1)
     return upper.rlike(_literal(SKIP_WORDS)) | (
         first_word.isin(*HEADING_STARTS) & ~col(line).rlike(r"\d"))
 

@@ -63,7 +63,8 @@ def line_verdicts(lines: DataFrame, master: DataFrame, tolerance: float = TOLERA
     )
 
 
-def _counts() -> list[Column]:
+def verdict_counts() -> list[Column]:
+    """Lines by verdict, as aggregates."""
     status = F.col("validation_status")
     return [
         F.count(F.lit(1)).alias("total_parts"),
@@ -75,7 +76,7 @@ def _counts() -> list[Column]:
 
 def verdict_summary(verdicts: DataFrame, by: str = "doc_id") -> DataFrame:
     """Line counts per invoice."""
-    return verdicts.groupBy(by).agg(*_counts())
+    return verdicts.groupBy(by).agg(*verdict_counts())
 
 
 def batch_summary(verdicts: DataFrame) -> DataFrame:

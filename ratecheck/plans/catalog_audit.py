@@ -12,7 +12,6 @@ from ratecheck.plans.audit import audit, audit_summary
 from ratecheck.plans.driver_views import AS_OF, DriverViews
 from ratecheck.plans.oracle_views import NORMAL, key_sql, with_views
 from ratecheck.functions.text import setting_error
-from ratecheck.session import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -258,12 +257,8 @@ def _(v):
 
 
 def outcomes(v: DriverViews) -> DataFrame:
-    invoices = v.invoices()
-    # Verdicts carry the line columns, so the gate reads them instead of the lines again.
-    verdicts = written(audit(v.lines(), v.master()))
-    gate = inv.quality_gate(invoices, verdicts)
-    return val.file_outcomes(invoices.select("doc_id", "folder"), verdicts,
-                             inv.quality_rejects(gate))
+    # Verdicts carry the line columns, so the gate needs no other lines.
+    return inv.audited_files(v.invoices(), audit(v.lines(), v.master()))
 
 
 FILE_COUNTS = """

@@ -363,6 +363,9 @@ def error_rows(v):
     t AS (SELECT advice, row_number() OVER (ORDER BY min((row_no, field, pos))) AS seq
           FROM a GROUP BY advice)
     SELECT 0 AS block, 0 AS seq, 'Found ' || total || ' validation error(s):' AS text FROM n
+    UNION ALL SELECT 0, 1, repeat('-', 50) FROM n
+    UNION ALL SELECT 9, -1, '' FROM n
+    UNION ALL SELECT 9, 0, '💡 SUGGESTIONS:' FROM n
     UNION ALL SELECT 1, 0, 'CRITICAL ERRORS:' FROM n WHERE c > 0
     UNION ALL SELECT 2, 0, 'ERRORS:' FROM n WHERE e > 0
     UNION ALL SELECT 3, 0, 'WARNINGS:' FROM n WHERE w > 0

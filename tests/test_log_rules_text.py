@@ -171,6 +171,15 @@ def test_digest_slots(spark):
     count = {b: sum(r.block == b and r.seq > 0 for r in rows) for b in (1, 2, 3)}
     assert count == {1: 2, 2: 3, 3: 1}
     assert any(r.text == "... and 4 more errors" for r in rows)
+    texts = [r.text for r in sorted(rows, key=lambda r: (r.block, r.seq))]
+    assert texts[:3] == ["Found 9 validation error(s):", "-" * 50, "CRITICAL ERRORS:"]
+    at = texts.index("💡 SUGGESTIONS:")
+    assert texts[at - 1] == "" and texts[at + 1] == "  • Check the input format and try again"
+
+
+def test_first_word_ends_at_any_white_space(spark):
+    rows = spark.createDataFrame([("ITEM\u00a0NOTE",), ("ITEM NOTE",), ("ITEMS NOTE",)], "line string")
+    assert [r.h for r in rows.select(tl.is_heading_line("line").alias("h")).collect()] == [True, True, False]
 
 
 INVOICE = """INVOICE NUMBER 12345678
