@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +24,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for intermediate data, else one below the warehouse."""
+    """The folder that the cluster names for intermediate data.
+
+    Where none is named, as in tests, one below the warehouse serves on a local master only: elsewhere
+    executors may not see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
@@ -39,14 +43,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write what several branches of a plan read, so that it is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kept_once(df: DataFrame) -> DataFrame:
     """Mark what several branches of one plan read: computed once, when a job first needs it.
 
