@@ -28,9 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for intermediate tables.
 
     ``spark.checkpoint.dir`` is read from the session; where it is unset, as in tests, a
-    folder below the warehouse serves.
+    folder below the warehouse serves, on a local master only.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
