@@ -9,13 +9,19 @@ window is read off.
 Equal strings met by one task are combined before the shuffle: every occurrence but those of the
 smallest id is already known to be a repeat, is marked on the spot, and does not travel. So
 a passage that a third of all documents hold reaches its bucket about once per task.
+
+A word pair that many documents hold among different neighbours would send them all to one bucket.
+Such hot minimisers are looked for in a sample of bounded size; under them every window is a
+string of its own and goes by its own hash, so that only equal windows meet. The sample
+decides on the way of a window alone: all windows are counted exactly either way.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, groupby
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,14 @@ MER_WORDS = 2
 MER_BYTES = 5 * MER_WORDS
 FLUSH_BYTES = 48 << 20
 BUCKET_BYTES = 32 << 20
+MOST_PARTS = 1 << 16
+# Strings carry about three times the bytes of their text.
+SPREAD = 3
+# A minimiser is hot above so many bytes of strings, and seen so often in the sample of texts.
+HOT_BYTES = 8 << 20
+HOT_SEEN = 8
+SAMPLE_SHARE = 16
+SAMPLE_BYTES = 512 << 20
 KNOWN_WORDS = 1 << 19
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +54,8 @@ ROW = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), ("id", pa.int64(
 ROW_SQL = "bucket int, pack binary, id long, tag long, start int, stop int"
 MARK = pa.schema([ROW.field(n) for n in ("id", "tag", "start", "stop")])
 MARK_SQL = "id long, tag long, start int, stop int"
+SEEN = pa.schema([("mer", pa.int64()), ("seen", pa.int64()), ("size", pa.int64())])
+SEEN_SQL = "mer long, seen long, size long"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,11 +84,22 @@ def minimisers(hashes: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarr
     return sliding_least(mers, window - MER_WORDS + 1)
 
 
+def placed(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and bucket of minimisers or of window hashes."""
+    mixed = values * MIX
+    mixed ^= mixed >> HALF
+    mixed *= STEP
+    return mixed >> HALF, (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+
+
 class Packer:
-    """Collects the super-k-mers of a task until they are sent."""
+    """Collects the super-k-mers of a task until they are sent.
 
-    def __init__(self, window: int, buckets: int):
-        self.window, self.buckets = window, buckets
+    ``hot`` holds the hot minimisers, sorted: their windows travel one by one.
+    """
+
+    def __init__(self, window: int, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)):
+        self.window, self.buckets, self.hot = window, buckets, hot
         self.known: dict[bytes, int] = {}
         self.clear()
 
@@ -91,26 +118,42 @@ class Packer:
                 known[word] = digest(word)
         return np.array([known[word] for word in found], np.uint64)
 
+    def cut(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Super-k-mers of a text: minimisers, first and last window, and where words start."""
+        sizes = [len(w) for w in found]
+        least = minimisers(self.word_hashes(found), np.array(sizes), self.window)
+        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
+        starts = np.concatenate(([0], cuts))
+        return least[starts], starts, np.append(cuts, len(least)), [
+            0, *accumulate(s + 1 for s in sizes)]
+
     def add(self, doc: int, tag: int, text: bytes) -> None:
         """Cut a text into super-k-mers; mark those that a smaller id of this task has."""
         found = text.split()
         if len(found) < self.window:
             return
-        sizes = [len(w) for w in found]
-        least = minimisers(self.word_hashes(found), np.array(sizes), self.window)
-        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-        starts = np.concatenate(([0], cuts))
-        mixed = least[starts] * MIX
-        mixed ^= mixed >> HALF
-        mixed *= STEP
-        keys = (mixed >> HALF).tolist()
-        places = ((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)).tolist()
-        line = b" ".join(found)
-        ends = [0, *accumulate(s + 1 for s in sizes)]
-        starts, stops = starts.tolist(), [*cuts.tolist(), len(least)]
+        least, starts, stops, ends = self.cut(found)
+        line, more = b" ".join(found), self.window - 1
+        single = np.isin(least, self.hot) if len(self.hot) else np.zeros(len(least), bool)
+        whole = ~single
+        keys, places = placed(least[whole], self.buckets)
+        self.hold(doc, tag, line, ends, starts[whole].tolist(), stops[whole].tolist(),
+                  keys.tolist(), places.tolist())
+        if single.any():
+            at = [i for a, b in zip(starts[single].tolist(), stops[single].tolist())
+                  for i in range(a, b)]
+            hashes = np.array([xxhash.xxh64_intdigest(line[ends[i]:ends[i + more + 1] - 1])
+                               for i in at], np.uint64)
+            keys, places = placed(hashes, self.buckets)
+            self.hold(doc, tag, line, ends, at, [i + 1 for i in at], keys.tolist(),
+                      places.tolist())
+
+    def hold(self, doc: int, tag: int, line: bytes, ends: list[int], starts: list[int],
+             stops: list[int], keys: list[int], places: list[int]) -> None:
         strings, more = self.strings, self.window - 1
         for start, stop, key, place in zip(starts, stops, keys, places):
             string = line[ends[start]:ends[stop + more] - 1]
+            # A window that travels alone and a super-k-mer of one window never hold the same words.
             held = strings.get(string)
             if held is None:
                 strings[string] = (doc, tag, start, stop, key, place)
@@ -119,6 +162,7 @@ class Packer:
                 self.marks.append((doc, tag, start, stop))
             elif doc == held[0]:
                 self.repeats.append((string, (doc, tag, start, stop, key, place)))
+                self.held += 150
             else:
                 self.marks.append(held[:4])
                 strings[string] = (doc, tag, start, stop, key, place)
@@ -186,19 +230,9 @@ def repeated(packs: list[bytes], window: int) -> Iterator[tuple[int, int, int, i
         group = shared[a:b]
         if ids[group].min() == ids[group].max():
             continue
-        windows = []
-        for row in group.tolist():
-            found = strings[row].split(b" ")
-            windows += [(b" ".join(found[i:i + window]), int(ids[row]), row, i)
-                        for i in range(len(found) - window + 1)]
-        windows.sort()
         hits: dict[int, list[int]] = {}
-        for _, equal in groupby(windows, key=lambda w: w[0]):
-            least = None
-            for _, doc, row, i in equal:
-                least = doc if least is None else least
-                if doc > least:
-                    hits.setdefault(row, []).append(i)
+        for row, i in later(strings, ids, group, window):
+            hits.setdefault(row, []).append(i)
         for row, at in hits.items():
             at.sort()
             doc, tag, start = int(ids[row]), int(tags[row]), int(starts[row])
@@ -206,6 +240,39 @@ def repeated(packs: list[bytes], window: int) -> Iterator[tuple[int, int, int, i
                 yield doc, tag, start + first, start + last + 1
 
 
+def later(strings: list[bytes], ids: np.ndarray, group: np.ndarray, window: int
+          ) -> Iterator[tuple[int, int]]:
+    """Row and place of every window of a group that a smaller id has as well.
+
+    Windows are sorted by hash; those of one hash are told apart by their words.
+    """
+    hashes, rows, places = array("Q"), array("q"), array("q")
+    digest = xxhash.xxh64_intdigest
+    for row in group.tolist():
+        found = strings[row].split(b" ")
+        n = len(found) - window + 1
+        hashes.extend(digest(b" ".join(found[i:i + window])) for i in range(n))
+        rows.extend([row] * n)
+        places.extend(range(n))
+    ranked = np.frombuffer(hashes, np.uint64)
+    order = np.argsort(ranked, kind="stable")
+    ranked = ranked[order]
+    owners = ids[np.frombuffer(rows, np.int64)][order]
+    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    counts = np.diff(np.append(edges, len(ranked)))
+    several = np.minimum.reduceat(owners, edges) < np.maximum.reduceat(owners, edges)
+    for a, n in zip(edges[several].tolist(), counts[several].tolist()):
+        equal: dict[bytes, list[int]] = {}
+        for at in order[a:a + n].tolist():
+            found = strings[rows[at]].split(b" ")
+            equal.setdefault(b" ".join(found[places[at]:places[at] + window]), []).append(at)
+        for held in equal.values():
+            least = min(int(ids[rows[at]]) for at in held)
+            for at in held:
+                if ids[rows[at]] > least:
+                    yield rows[at], places[at]
+
+
 def runs(numbers: Iterable[int]) -> Iterator[tuple[int, int]]:
     """First and last of every run of consecutive numbers."""
     first = last = None
@@ -220,16 +287,54 @@ def runs(numbers: Iterable[int]) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
+def hot_minimisers(docs: DataFrame, total: int, window: int) -> np.ndarray:
+    """Minimisers whose strings in a table of ``total`` bytes of text pass ``HOT_BYTES``, sorted.
+
+    They are estimated from whole texts, one in ``SAMPLE_SHARE`` or fewer, ``SAMPLE_BYTES`` of
+    them at most by expectation, picked by a hash; each was seen ``HOT_SEEN`` times there, so
+    their number is bounded by the sample and not by the table.
+    """
+    share = max(SAMPLE_SHARE, -(-total // SAMPLE_BYTES))
+    picked = docs.filter(F.pmod(F.xxhash64("id", "tag", F.lit("sample")), F.lit(share)) == 0)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window, 1)
+        for batch in batches:
+            found: dict[int, list[int]] = {}
+            for text in batch.column(0):
+                words = text.as_py().encode().split() if text.is_valid else []
+                if len(words) < window:
+                    continue
+                least, starts, stops, ends = packer.cut(words)
+                for mer, start, stop in zip(least.view(np.int64).tolist(), starts.tolist(),
+                                            stops.tolist()):
+                    entry = found.setdefault(mer, [0, 0])
+                    entry[0] += 1
+                    entry[1] += ends[stop + window - 1] - ends[start]
+            rows = [(mer, *entry) for mer, entry in found.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [(), (), ()], SEEN)],
+                schema=SEEN)
+
+    seen = picked.select("text").mapInArrow(look, SEEN_SQL).groupBy("mer").agg(
+        F.sum("seen").alias("seen"), F.sum("size").alias("size"))
+    hot = seen.filter((F.col("seen") >= HOT_SEEN) & (F.col("size") * share >= HOT_BYTES))
+    found = np.array([r[0] for r in hot.select("mer").collect()], np.int64)
+    return np.sort(found.view(np.uint64))
+
+
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id, tag, start, stop``: runs of windows of a row that start in a smaller id as well.
 
     ``docs`` has ``id`` (long, not null), ``tag`` and ``text``.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-total * 3 // BUCKET_BYTES))
+    buckets = max(16, -(-total * SPREAD // BUCKET_BYTES))
+    parts = min(buckets, MOST_PARTS)
+    hot = hot_minimisers(docs, total, window)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, buckets)
+        packer = Packer(window, buckets, hot)
         for batch in batches:
             for doc, tag, text in zip(*[batch.column(i) for i in range(3)]):
                 if text.is_valid:
@@ -261,7 +366,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from settle()
 
     sent = docs.select("id", "tag", "text").mapInArrow(split, ROW_SQL)
-    met = sent.repartition("bucket").sortWithinPartitions("bucket")
+    met = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     return met.mapInArrow(count, MARK_SQL)
 
 

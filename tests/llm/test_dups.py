@@ -1,8 +1,9 @@
 """SimHash groups, substring removal and phrase matches against brute force."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,6 +124,43 @@ def test_flushing_early_changes_nothing(spark, documents, prose, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_removed(rows, 13)))
 
 
+def test_hot_word_pairs_are_split(spark, documents, prose, monkeypatch):
+    """A third of the texts hold one word pair among different neighbours, some a whole passage."""
+    monkeypatch.setattr(window_dedup, "HOT_BYTES", 20_000)
+    monkeypatch.setattr(window_dedup, "SAMPLE_SHARE", 1)
+    def mer(words):
+        sizes = np.array([len(w) for w in words])
+        return int(window_dedup.minimisers(window_dedup.Packer(2, 1).word_hashes(words), sizes, 2)[0])
+
+    pair = min((f"neighbour{i} nevertheless" for i in range(60)), key=lambda p: mer(p.encode().split()))
+    shared = prose(1, 15) + f" {pair} " + prose(2, 15)
+    rows = [(i, prose(1000 + i, 40, 10**6) + (f" {pair} " if i % 3 == 0 else " ")
+             + prose(2000 + i, 40, 10**6) + (" " + shared if i % 30 == 0 else ""), "p")
+            for i in range(600)]
+    rows += [(None, shared, "p"), (700, f"{pair} " * 60, "p"), (701, f"{pair} " * 40, "p")]
+    docs = documents(rows).repartition(3)
+    spoken = docs.selectExpr("coalesce(doc_id, 9) id", "crc32(cast(text as binary)) tag", "text")
+    hot = window_dedup.hot_minimisers(spoken, 10**6, 13)
+    got = window_dedup.remove_repeats(docs).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_removed(rows, 13)))
+    assert 1 <= len(hot) <= 3 and sum(r.n_removed > 0 for r in got) >= 20
+    most = []
+    for known in (hot, hot[:0]):
+        packer = window_dedup.Packer(13, 64, known)
+        for i, text, _ in rows[:600:3]:
+            packer.add(i, 0, text.encode())
+        most.append(max(Counter(entry[4] for entry in packer.strings.values()).values()))
+    # Only the twenty openings of the shared passage still meet, far below the bound.
+    assert most[0] <= 20 and most[1] >= 200
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    strings = [b"a b c", b"a b d", b"a b c"]
+    monkeypatch.setattr(window_dedup.xxhash, "xxh64_intdigest", lambda data: 7)
+    got = list(window_dedup.later(strings, np.array([1, 2, 3]), np.array([0, 1, 2]), 3))
+    assert got == [(2, 0)]
+
+
 def test_no_rows_no_windows(spark, documents):
     assert window_dedup.remove_repeats(documents([(1, "a", "s")]).limit(0)).count() == 0
 
