@@ -42,6 +42,7 @@ HOT_BYTES = 8 << 20
 HOT_SEEN = 8
 SAMPLE_SHARE = 16
 SAMPLE_BYTES = 512 << 20
+CHUNK_BYTES = 2 << 20
 KNOWN_WORDS = 1 << 19
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -226,18 +227,33 @@ def repeated(packs: list[bytes], window: int) -> Iterator[tuple[int, int, int, i
     if not len(shared):
         return
     edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        group = shared[a:b]
-        if ids[group].min() == ids[group].max():
-            continue
-        hits: dict[int, list[int]] = {}
-        for row, i in later(strings, ids, group, window):
-            hits.setdefault(row, []).append(i)
-        for row, at in hits.items():
-            at.sort()
-            doc, tag, start = int(ids[row]), int(tags[row]), int(starts[row])
-            for first, last in runs(at):
-                yield doc, tag, start + first, start + last + 1
+    owners, begin = ids[shared], edges[:-1]
+    sizes = np.add.reduceat(np.array([len(strings[row]) for row in shared.tolist()]), begin)
+    several = np.minimum.reduceat(owners, begin) < np.maximum.reduceat(owners, begin)
+    # Several minimisers are counted at once; one is never divided.
+    rows, held = [], 0
+    for a, b, size in zip(begin[several].tolist(), edges[1:][several].tolist(),
+                          sizes[several].tolist()):
+        rows.append(shared[a:b])
+        held += size
+        if held > CHUNK_BYTES:
+            yield from spans(strings, ids, tags, starts, np.concatenate(rows), window)
+            rows, held = [], 0
+    if rows:
+        yield from spans(strings, ids, tags, starts, np.concatenate(rows), window)
+
+
+def spans(strings: list[bytes], ids: np.ndarray, tags: np.ndarray, starts: np.ndarray,
+          group: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """Marks of the strings in ``group``."""
+    hits: dict[int, list[int]] = {}
+    for row, i in later(strings, ids, group, window):
+        hits.setdefault(row, []).append(i)
+    for row, at in hits.items():
+        at.sort()
+        doc, tag, start = int(ids[row]), int(tags[row]), int(starts[row])
+        for first, last in runs(at):
+            yield doc, tag, start + first, start + last + 1
 
 
 def later(strings: list[bytes], ids: np.ndarray, group: np.ndarray, window: int
@@ -247,29 +263,33 @@ def later(strings: list[bytes], ids: np.ndarray, group: np.ndarray, window: int
     Windows are sorted by hash; those of one hash are told apart by their words.
     """
     hashes, rows, places = array("Q"), array("q"), array("q")
+    begins, ends = array("q"), array("q")
     digest = xxhash.xxh64_intdigest
     for row in group.tolist():
-        found = strings[row].split(b" ")
-        n = len(found) - window + 1
-        hashes.extend(digest(b" ".join(found[i:i + window])) for i in range(n))
-        rows.extend([row] * n)
-        places.extend(range(n))
+        string = strings[row]
+        edges = [0, *accumulate(len(w) + 1 for w in string.split(b" "))]
+        stops = edges[window:]
+        hashes.extend([digest(string[a:b - 1]) for a, b in zip(edges, stops)])
+        begins.extend(edges[:len(stops)])
+        ends.extend(stops)
+        rows.extend([row] * len(stops))
+        places.extend(range(len(stops)))
     ranked = np.frombuffer(hashes, np.uint64)
     order = np.argsort(ranked, kind="stable")
     ranked = ranked[order]
     owners = ids[np.frombuffer(rows, np.int64)][order]
-    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    counts = np.diff(np.append(edges, len(ranked)))
-    several = np.minimum.reduceat(owners, edges) < np.maximum.reduceat(owners, edges)
-    for a, n in zip(edges[several].tolist(), counts[several].tolist()):
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    counts = np.diff(np.append(first, len(ranked)))
+    several = np.minimum.reduceat(owners, first) < np.maximum.reduceat(owners, first)
+    for a, n in zip(first[several].tolist(), counts[several].tolist()):
         equal: dict[bytes, list[int]] = {}
         for at in order[a:a + n].tolist():
-            found = strings[rows[at]].split(b" ")
-            equal.setdefault(b" ".join(found[places[at]:places[at] + window]), []).append(at)
+            equal.setdefault(strings[rows[at]][begins[at]:ends[at] - 1], []).append(at)
         for held in equal.values():
-            least = min(int(ids[rows[at]]) for at in held)
-            for at in held:
-                if ids[rows[at]] > least:
+            docs = [int(ids[rows[at]]) for at in held]
+            least = min(docs)
+            for at, doc in zip(held, docs):
+                if doc > least:
                     yield rows[at], places[at]
 
 
