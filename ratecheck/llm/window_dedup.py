@@ -43,12 +43,12 @@ HOT_SEEN = 8
 SAMPLE_SHARE = 16
 SAMPLE_BYTES = 512 << 20
 CHUNK_BYTES = 2 << 20
-KNOWN_WORDS = 1 << 19
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SPARSE = np.uint64(1 << 63)
 HALF = np.uint64(32)
+POWERS = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 ROW = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), ("id", pa.int64()),
                  ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
@@ -93,6 +93,19 @@ def placed(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed >> HALF, (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
 
 
+def word_hashes(line: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``line``, which single spaces part; ``sizes`` are their lengths."""
+    ends = np.cumsum(sizes + 1)
+    begins = ends - sizes - 1
+    place = np.arange(len(line) + 1) - np.repeat(begins, sizes + 1)
+    # The space after a word counts with it and tells lengths apart.
+    flat = np.frombuffer(line + b" ", np.uint8).astype(np.uint64)
+    hashes = np.add.reduceat((flat + np.uint64(7)) * POWERS[place & 63], begins)
+    hashes ^= hashes >> HALF
+    hashes *= STEP
+    return hashes ^ (hashes >> HALF)
+
+
 class Packer:
     """Collects the super-k-mers of a task until they are sent.
 
@@ -101,7 +114,6 @@ class Packer:
 
     def __init__(self, window: int, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)):
         self.window, self.buckets, self.hot = window, buckets, hot
-        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -110,31 +122,23 @@ class Packer:
         self.marks: list[tuple[int, int, int, int]] = []
         self.held = 0
 
-    def word_hashes(self, found: list[bytes]) -> np.ndarray:
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in found:
-            if word not in known:
-                known[word] = digest(word)
-        return np.array([known[word] for word in found], np.uint64)
-
-    def cut(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    def cut(self, found: list[bytes], line: bytes
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Super-k-mers of a text: minimisers, first and last window, and where words start."""
-        sizes = [len(w) for w in found]
-        least = minimisers(self.word_hashes(found), np.array(sizes), self.window)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        least = minimisers(word_hashes(line, sizes), sizes, self.window)
         cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
         starts = np.concatenate(([0], cuts))
         return least[starts], starts, np.append(cuts, len(least)), [
-            0, *accumulate(s + 1 for s in sizes)]
+            0, *np.cumsum(sizes + 1).tolist()]
 
     def add(self, doc: int, tag: int, text: bytes) -> None:
         """Cut a text into super-k-mers; mark those that a smaller id of this task has."""
         found = text.split()
         if len(found) < self.window:
             return
-        least, starts, stops, ends = self.cut(found)
         line, more = b" ".join(found), self.window - 1
+        least, starts, stops, ends = self.cut(found, line)
         single = np.isin(least, self.hot) if len(self.hot) else np.zeros(len(least), bool)
         whole = ~single
         keys, places = placed(least[whole], self.buckets)
@@ -325,7 +329,7 @@ def hot_minimisers(docs: DataFrame, total: int, window: int) -> np.ndarray:
                 words = text.as_py().encode().split() if text.is_valid else []
                 if len(words) < window:
                     continue
-                least, starts, stops, ends = packer.cut(words)
+                least, starts, stops, ends = packer.cut(words, b" ".join(words))
                 for mer, start, stop in zip(least.view(np.int64).tolist(), starts.tolist(),
                                             stops.tolist()):
                     entry = found.setdefault(mer, [0, 0])

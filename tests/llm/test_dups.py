@@ -130,7 +130,7 @@ def test_hot_word_pairs_are_split(spark, documents, prose, monkeypatch):
     monkeypatch.setattr(window_dedup, "SAMPLE_SHARE", 1)
     def mer(words):
         sizes = np.array([len(w) for w in words])
-        return int(window_dedup.minimisers(window_dedup.Packer(2, 1).word_hashes(words), sizes, 2)[0])
+        return int(window_dedup.minimisers(window_dedup.word_hashes(b" ".join(words), sizes), sizes, 2)[0])
 
     pair = min((f"neighbour{i} nevertheless" for i in range(60)), key=lambda p: mer(p.encode().split()))
     shared = prose(1, 15) + f" {pair} " + prose(2, 15)
