@@ -83,10 +83,15 @@ def lines_export(lines: DataFrame, invoices: DataFrame) -> DataFrame:
         "total", "line_number", "raw_text", "invoice_number")
 
 
+# Fixed value: the name of reports without a number.
+NAMELESS = "report"
+NAMELESS_TASKS = 64
+
+
 def report_name(invoice_number) -> Column:
     """File name stem: the invoice number, or 'report' when missing or unknown."""
     number = F.col(invoice_number) if isinstance(invoice_number, str) else invoice_number
-    return F.when(is_blank(number) | (F.lower(number) == "unknown"), "report").otherwise(number)
+    return F.when(is_blank(number) | (F.lower(number) == "unknown"), NAMELESS).otherwise(number)
 
 
 def dated_reports(reports: DataFrame, run_date: str) -> DataFrame:
@@ -99,9 +104,16 @@ def dated_reports(reports: DataFrame, run_date: str) -> DataFrame:
 def write_dated(reports: DataFrame, run_date: str, base: str, fmt: str = "json") -> None:
     """Write below ``base/run_date=YYYYMMDD/name=<invoice>/``.
 
-    Rows of a report are brought together first, so each report is one file.
+    Rows of a report are brought together first, so no report is spread over files. Reports without
+    a number share one name; they are dealt over NAMELESS_TASKS tasks by ``doc_id``, where there is
+    one, so that name is no task's burden.
     """
-    dated_reports(reports, run_date).repartition("run_date", "name").write.mode(
+    dated = dated_reports(reports, run_date)
+    salt = F.lit(0)
+    if "doc_id" in dated.columns:
+        salt = F.when(F.col("name") == NAMELESS, F.pmod(F.xxhash64("doc_id"), NAMELESS_TASKS)
+                      ).otherwise(0)
+    dated.repartition("run_date", "name", salt).write.mode(
         "append").partitionBy("run_date", "name").format(fmt).save(base)
 
 

@@ -219,6 +219,25 @@ def test_dated_reports_land_in_their_folder(spark, tmp_path):
     assert names == {1: "10000001", 2: "report", 3: "report"}
 
 
+def test_nameless_reports_spread_over_files(spark, tmp_path):
+    # Small outputs are put together again by their size; here the dealing itself is looked at.
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    reports = spark.range(10_000).selectExpr(
+        "concat('doc-', id) AS doc_id", "CAST(NULL AS STRING) AS invoice_number",
+        "explode(sequence(1, 2)) AS line")
+    spark.conf.set(coalesce, "false")
+    try:
+        exports.write_dated(reports, "2025-01-31", str(tmp_path / "out"))
+    finally:
+        spark.conf.set(coalesce, before)
+    back = spark.read.json(str(tmp_path / "out")).withColumn("file", F.input_file_name())
+    assert back.count() == 20_000
+    per_file = back.groupBy("file").count().collect()
+    assert len(per_file) > 1 and max(r["count"] for r in per_file) < 10_000
+    assert back.groupBy("doc_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").isEmpty()
+
+
 def test_typed_round_trip(master):
     back = records.typed_rows(records.as_text(master), PARTS)
     assert sorted(map(str, back.collect())) == sorted(map(str, master.select(back.columns).collect()))
