@@ -70,6 +70,9 @@ GARMENT_LINE = (
     r"(\d+)\s+" + NAME + r"\s+" + CODE + r"\s+(.+?)\s+([A-Z0-9X]+|X)\s+" + KINDS + r"\s+"
     + AMOUNTS
 )
+# What any garment line must hold, found without backtracking through names and descriptions: a
+# number, two words, and a size before the kind.
+GARMENT_SHAPE = r"\d\s+\S+\s+\S+\s+(?:[\s\S]*\s)?[A-Z0-9]+\s+" + KINDS + r"\s+" + AMOUNTS
 CHARGE_LINE = r"(\d+)\s+" + NAME + r"\s+" + CHARGES + r"\s+" + AMOUNTS
 PLAIN_LINE = r"^" + CODE + r"\s+(.+?)\s+(Rent|X)\s+" + AMOUNTS + r"$"
 
@@ -193,7 +196,7 @@ def parse_line(line) -> Column:
     """
     text = col(line)
     return F.split(F.coalesce(
-        _fields(text, GARMENT_LINE, rf"{KINDS}\s+{AMOUNTS}", "$3", "$4", "$6", "$8"),
+        _fields(text, GARMENT_LINE, GARMENT_SHAPE, "$3", "$4", "$6", "$8"),
         _fields(text, CHARGE_LINE, rf"{CHARGES}\s+{AMOUNTS}", "$3", "$3", "Charge", "$5"),
         _fields(text, PLAIN_LINE, rf"(Rent|X)\s+{AMOUNTS}$", "$1", "$2", "$3", "$5")), MARK)
 

@@ -224,3 +224,18 @@ def test_text_line_forms(spark, line, want):
     got = [(r.part_number, r.description, r.item_type, float(r.rate))
            for r in tl.text_line_items(frame).collect()]
     assert got == ([] if want is None else [want])
+
+
+def test_garment_shape_loses_no_garment(spark):
+    """The short test before the garment pattern holds for every line that the pattern matches."""
+    from ratecheck.operators import text_lines as tl
+    lines = ["1 Ann GP1NAVY RED GEAR 40X28 Rent 2 0.300 0.60", "1 A  C   X X 1 0.30 0.30",
+             "MAT12 RED GIZMO X 5 900.000 900.00", "MAT12 BIG RED GIZMO X 5 900.000 900.00",
+             "7 Anthony Carson PREP CHARGE 9 9.40 9.40", "x1\u00a0Ann\u00a0B2 y 3X Ruin charge 1 2.00 2.00 z",
+             "1 Ann B\n C D 2XL Loss  Charge 1 2.000 2.00", "note 9.0 small widget"]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = frame.select(
+        F.col("line").rlike("(?sU)" + tl.GARMENT_LINE).alias("full"),
+        F.col("line").rlike("(?U)" + tl.GARMENT_SHAPE).alias("shape")).collect()
+    assert any(r.full for r in got) and all(r.shape for r in got if r.full)
+    assert not got[2].shape  # a plain line does not reach the garment pattern
