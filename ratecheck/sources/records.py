@@ -73,7 +73,7 @@ def numbered(pages: DataFrame) -> DataFrame:
 
 def _gathered(value: Column) -> Column:
     """Values in line order."""
-    ordered = F.array_sort(F.collect_list(F.struct("row_idx", "line_id", value.alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct("row_idx", "line_id", value.alias("v"))))
     return F.transform(ordered, lambda s: s["v"])
 
 
@@ -84,33 +84,46 @@ def nest_extractions(lines: DataFrame, invoices: DataFrame, sections: DataFrame,
     Sections and the number of all lines stand in the record of an invoice's first page only.
     ``first_line`` says how many lines the pages before hold.
     """
-    part = F.struct(
-        F.struct(
-            "part_number", F.col("rate").alias("authorized_price"), "description", "item_type",
-            F.lit(None).cast("string").alias("category"), F.lit("extracted").alias("source"),
-            F.col("first_seen").alias("first_seen_invoice")).alias("database_fields"),
-        F.struct("line_number", "quantity", "total", "raw_text").alias("lineitem_fields"))
+    fields = F.struct(
+        "row_idx", "line_id", "part_number", "rate", "description", "item_type", "line_number",
+        "quantity", "total", "raw_text")
+
+    def part(line: Column, head: Column) -> Column:
+        return F.struct(line["row_idx"], line["line_id"], F.struct(
+            F.struct(
+                line["part_number"].alias("part_number"), line["rate"].alias("authorized_price"),
+                line["description"].alias("description"), line["item_type"].alias("item_type"),
+                F.lit(None).cast("string").alias("category"), F.lit("extracted").alias("source"),
+                head["invoice_number"].alias("first_seen_invoice")).alias("database_fields"),
+            F.struct(*[line[c].alias(c) for c in ("line_number", "quantity", "total", "raw_text")])
+            .alias("lineitem_fields")).alias("v"))
+
     heads = invoices.select("doc_id", "invoice_number", "invoice_date", "customer_number")
-    valid = paged(lines.filter(is_valid_line()), size).join(
-        heads.select("doc_id", F.col("invoice_number").alias("first_seen")), "doc_id", "left")
-    parts = valid.groupBy("doc_id", "page").agg(_gathered(part).alias("parts"))
-    counts = numbered(paged(lines.filter(is_valid_line()), size).groupBy("doc_id", "page").agg(
-        F.count(F.lit(1)).alias("lines")))
+    # The numbers of an invoice join its pages, not its lines, so lines travel once.
+    numbers = heads.groupBy("doc_id").agg(
+        F.collect_list(F.struct("invoice_number")).alias("numbers"))
+    valid = paged(lines.filter(is_valid_line()), size)
+    lists = valid.groupBy("doc_id", "page").agg(F.collect_list(fields).alias("lines"))
+    counts = numbered(valid.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("lines")))
     whole = counts.groupBy("doc_id").agg(F.sum("lines").cast("int").alias("all_lines"))
     amounts = sections.groupBy("doc_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("section_pos", "section_type", "amount"))),
         lambda s: F.struct(s["section_type"].alias("section_type"), s["amount"].alias("amount"),
                            F.lit(None).cast("string").alias("raw_text"),
                            F.lit(None).cast("string").alias("line_number"))).alias("amounts"))
-    headed = parts.join(counts, ["doc_id", "page"]).join(whole, "doc_id").join(
+    headed = counts.drop("lines").join(whole, "doc_id").join(numbers, "doc_id", "left").join(
         heads, "doc_id", "left").join(amounts, "doc_id", "left")
-    return headed.select(
+    unknown = F.array(F.struct(F.lit(None).cast("string").alias("invoice_number")))
+    each = F.flatten(F.transform("lines", lambda line: F.transform(
+        F.coalesce("numbers", unknown), lambda head: part(line, head))))
+    parts = F.transform(F.sort_array(each), lambda s: s["v"]).alias("parts")
+    return lists.join(headed, ["doc_id", "page"]).select(
         "doc_id", "page",
         F.struct("invoice_number", "invoice_date", "customer_number",
                  F.lit(None).cast("string").alias("customer_name"),
                  F.when(F.col("first_page"), F.col("all_lines")).alias("total_line_items"),
                  F.col("first_line").cast("int").alias("first_line")).alias("invoice_metadata"),
-        F.when(F.col("first_page"), F.col("amounts")).alias("format_sections"), "parts")
+        F.when(F.col("first_page"), F.col("amounts")).alias("format_sections"), parts)
 
 
 def nest_invoices(lines: DataFrame, invoices: DataFrame, size: int = PAGE_LINES) -> DataFrame:
@@ -143,7 +156,8 @@ def nest_verdicts(verdicts: DataFrame, invoices: DataFrame, size: int = PAGE_LIN
                     "total", "database_price", "price_difference", "validation_status",
                     "validation_errors", "raw_text")
     status = F.col("validation_status")
-    pages = paged(verdicts, size).groupBy("doc_id", "page").agg(
+    # Dealt by invoice, as its summary is: lines travel once, gathered pages not at all.
+    pages = paged(verdicts, size).repartition("doc_id").groupBy("doc_id", "page").agg(
         _gathered(part).alias("parts"),
         F.count(F.lit(1)).alias("total_parts"),
         F.count_if(status == "PASSED").alias("passed_parts"),
