@@ -246,3 +246,42 @@ def test_large_numbers_neither_abort_nor_vanish(spark, master):
     verdicts = val.verdicts_with_acceptance(lines, master, AS_OF)
     assert {r.validation_status for r in verdicts.collect()} == {"PASSED"}
     assert val.line_amounts(val.line_verdicts(lines, master)).count() == 2
+
+
+def test_first_lines_are_picked_before_they_meet_the_master(spark, master):
+    """Lines of a key fall together first, so the lookup of unknown parts sees one row a key."""
+    lines = spark.range(100).selectExpr(
+        "concat('d', id) AS doc_id", "id AS row_idx", "CAST(id AS STRING) AS line_id",
+        "concat('X', id % 3) AS part_number", "'SHIRT' AS description", "'Rent' AS item_type")
+    found = val.unknown_parts(lines, master)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Aggregate")
+    assert sorted((r.part_number, r.row_idx) for r in found.collect()) == [("X0", 0), ("X1", 1), ("X2", 2)]
+
+
+def test_shuffles_start_with_many_parts(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1000
+
+
+def test_nested_lines_travel_once(spark):
+    """Neither extraction records nor nested verdicts shuffle gathered lines again."""
+    from ratecheck.schemas import EXTRACTION  # noqa: F401
+    from ratecheck.sources import records
+    lines = spark.createDataFrame(
+        [("a", 1, "1"), ("a", 0, "0"), ("b", 0, "0")], "doc_id string, row_idx bigint, line_id string"
+    ).selectExpr(
+        "*", "'P' AS part_number", "CAST(1 AS DECIMAL(18,4)) AS rate", "'x' AS description",
+        "'Rent' AS item_type", "line_id AS line_number", "1 AS quantity",
+        "CAST(1 AS DECIMAL(18,4)) AS total", "'RAW' AS raw_text")
+    invoices = spark.createDataFrame(
+        [("a", "1", "d", "c"), ("a", "2", "d", "c")],
+        "doc_id string, invoice_number string, invoice_date string, customer_number string")
+    sections = spark.createDataFrame(
+        [], "doc_id string, section_type string, section_pos int, amount decimal(18,4)")
+    nested = records.nest_extractions(lines, invoices, sections)
+    # Two invoice rows of one document: its lines stand for each, in line order.
+    got = {(r.doc_id, r.invoice_metadata.invoice_number): [
+        (p.lineitem_fields.line_number, p.database_fields.first_seen_invoice) for p in r.parts]
+        for r in nested.collect()}
+    both = [("0", "1"), ("0", "2"), ("1", "1"), ("1", "2")]
+    assert got == {("a", "1"): both, ("a", "2"): both, ("b", None): [("0", None)]}
