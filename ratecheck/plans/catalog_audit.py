@@ -232,7 +232,7 @@ def _(v):
     SELECT composite_key, doc_id, line_id, part_number, description, item_type,
            CAST(rate AS DOUBLE) AS rate, quantity FROM v_unknown""")
 def _(v):
-    out = val.unknown_parts(v.lines(), v.master()).select(
+    out = val.unknown_parts(v.lines(), v.master(), ["rate", "quantity"]).select(
         "composite_key", "doc_id", "line_id", "part_number", "description", "item_type", "rate",
         "quantity")
     return doubles(out, "rate")

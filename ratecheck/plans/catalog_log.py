@@ -257,8 +257,8 @@ def _(v):
 
 
 def _decided(v):
-    return dl.apply_decisions(unknown_parts(v.lines(), v.master()), v.decisions(), v.master(),
-                              AS_OF)
+    unknowns = unknown_parts(v.lines(), v.master(), ["part_number", "description", "item_type"])
+    return dl.apply_decisions(unknowns, v.decisions(), v.master(), AS_OF)
 
 
 @register("d14_decision_outcomes", """

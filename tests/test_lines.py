@@ -260,6 +260,26 @@ def test_first_lines_are_picked_before_they_meet_the_master(spark, master):
         ("X0", 0), ("X1", 1), ("X2", 11)]  # d11 comes before d2
 
 
+def test_combining_first_lines_leaves_out_columns_behind_the_needed_ones(spark, master):
+    """Raw text and totals of all lines are not sorted; ties still fall to the columns in order."""
+    lines = spark.createDataFrame(
+        [("d1", 0, "0", n, "X1", "SHIRT", "Rent", r, t, w) for n, r, t, w in [
+            ("2", "1.00", "9.00", "a"), ("1", "3.00", "1.00", "z"), ("1", "2.00", "5.00", "m"),
+            ("1", "2.00", None, "k"), (None, "7.00", "4.00", "b")] for _ in range(2)],
+        "doc_id string, row_idx bigint, line_id string, line_number string, part_number string, "
+        "description string, item_type string, rate string, total string, raw_text string")
+    whole = val.unknown_parts(lines, master)
+    narrow = val.unknown_parts(lines, master, ["rate"])
+    assert narrow.columns == [c for c in whole.columns if c not in ("total", "raw_text")]
+    assert narrow.collect() == whole.select(*narrow.columns).collect()
+    assert narrow.first().rate == "7.00"
+    accepted = val.verdicts_with_acceptance(lines, master, AS_OF)
+    for frame in (narrow, accepted):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        struct = plan[plan.index("min(struct(doc_id"):].split("\n")[0]
+        assert "raw_text" not in struct and "total" not in struct
+
+
 def test_nested_lines_travel_once(spark):
     """Neither extraction records nor nested verdicts shuffle gathered lines again."""
     lines = spark.createDataFrame(
