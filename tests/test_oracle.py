@@ -74,6 +74,16 @@ def test_reports_read_the_lines_once(spark, data, name):
     assert scans(QUERIES[name](spark, data), "l_linenumber") == 0
 
 
+@pytest.mark.parametrize("name", ["f2_invoice_report", "f3_batch_report", "f6_text_report"])
+def test_reports_keep_no_columns_they_do_not_show(spark, data, name):
+    spark.catalog.clearCache()
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().withCachedData().toString()
+    kept = [x for x in re.findall(r"InMemoryRelation \[(.*?)\]", plan) if "raw_text" in x]
+    assert kept
+    assert not any(c in x for x in kept
+                   for c in ("composite_key", "validation_errors", "price_difference"))
+
+
 @pytest.mark.parametrize("name", ["e8_file_outcomes", "e9_folder_statistics"])
 def test_counters_take_verdicts_and_gate_from_one_aggregate(spark, data, name):
     """The lines are read once for the verdicts, beside what the invoice view itself reads."""
